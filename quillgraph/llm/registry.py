@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import chat, secrets, sharding
+from quillgraph.llm import bpe, chat, secrets, sharding
 
 QUERIES = {
+    "op3_bpe": bpe.op3_bpe,
     "op2_secrets": secrets.op2_secrets,
     "op5_shard": sharding.op5_shard,
     "op10_chat": chat.op10_chat,
