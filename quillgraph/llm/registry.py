@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, chat, secrets, sharding
+from quillgraph.llm import bpe, chat, packing, secrets, sharding
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op2_secrets": secrets.op2_secrets,
+    "op4_packing": packing.op4_packing,
     "op5_shard": sharding.op5_shard,
     "op10_chat": chat.op10_chat,
 }
