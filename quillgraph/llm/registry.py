@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, chat, packing, secrets, sharding
+from quillgraph.llm import bpe, chat, langid, packing, secrets, sharding
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op2_secrets": secrets.op2_secrets,
     "op4_packing": packing.op4_packing,
     "op5_shard": sharding.op5_shard,
+    "op8_langid": langid.op8_langid,
     "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL = {"op10_chat": chat.OP10_SQL}
