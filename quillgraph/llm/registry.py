@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, chat, langid, packing, secrets, sharding
+from quillgraph.llm import bpe, chat, decontaminate, langid, packing, secrets, sharding
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_bpe": bpe.op3_bpe,
     "op2_secrets": secrets.op2_secrets,
     "op4_packing": packing.op4_packing,
@@ -12,4 +13,4 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op10_chat": chat.op10_chat,
 }
-ORACLE_SQL = {"op10_chat": chat.OP10_SQL}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op10_chat": chat.OP10_SQL}
