@@ -38,7 +38,7 @@ def shingle_hashes(text: Column) -> Column:
     return F.transform(
         F.array(w),
         lambda v: F.when(
-            F.size(v) > SHINGLE,
+            F.size(v) >= SHINGLE,
             F.transform(F.sequence(F.lit(0), F.size(v) - SHINGLE), lambda i: F.xxhash64(*(F.get(v, i + k) for k in range(SHINGLE)))),
         )
         .when(F.size(v) > 0, F.array(F.xxhash64(F.array_join(v, " "))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, chat, decontaminate, langid, packing, secrets, sharding
+from quillgraph.llm import bpe, chat, decontaminate, fingerprint, langid, packing, secrets, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op4_packing": packing.op4_packing,
     "op5_shard": sharding.op5_shard,
+    "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_langid": langid.op8_langid,
     "op10_chat": chat.op10_chat,
 }
