@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, chat, decontaminate, fingerprint, langid, packing, secrets, sharding
+from quillgraph.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, packing, secrets, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_shard": sharding.op5_shard,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_langid": langid.op8_langid,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_chat": chat.op10_chat,
 }
-ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op10_chat": chat.OP10_SQL}
+ORACLE_SQL = {"op9_jaccard": jaccard.OP9_SQL, "op1_decontaminate": decontaminate.OP1_SQL, "op10_chat": chat.OP10_SQL}
