@@ -303,14 +303,30 @@ def links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, th, n_shingles, cid, component_id (smallest id of the linked documents, itself included)."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, th, n_shingles, group, component_id (smallest id of the linked documents, itself included).
+
+    ``th`` is the hash of the text; ``group`` names the component and is null for an empty set.
+    """
     docs = docs.select("doc_id", "text")
     known = written(classes(docs, n), "classes")
     labels = components(links(docs, known, n, percent)).select(F.col("v").alias("cid"), "label")
     rows = known.join(labels, "cid", "left").withColumn("group", F.coalesce("label", "cid"))
     least = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component"))
     out = rows.join(least, "group", "left")
-    return out.select("doc_id", "th", "n_shingles", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", "th", "n_shingles", "group", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id (then text hash) stays, once; texts without words all stay."""
+    rows = similar_groups(docs, n, percent).where("group IS NOT NULL")
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")
+    best = rows.groupBy("group").agg(F.min(rank).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.th").alias("__th"))
+    best = written(best, "kept")
+    keyed = docs.withColumns({"__text": F.xxhash64("text"), "__none": ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
+    chosen = keyed.where("NOT __none").join(best, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")))
+    chosen = chosen.dropDuplicates(["__id", "__th"]).select(*(keyed[c] for c in docs.columns))
+    return chosen.unionByName(keyed.where("__none").select(*docs.columns))
 
 
 def op9_jaccard(spark, sf_dir) -> DataFrame:
