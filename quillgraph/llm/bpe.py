@@ -23,29 +23,36 @@ import hashlib
 import json
 import mmap
 import os
+import re
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table, written
+from quillgraph.llm.common import release, resident, table, written
 
 #: Words in the transducer at most, and their length in bytes.
-LEXICON, LONGEST = 100_000, 64
-#: Entries of a worker's caches; they are emptied when full.
-CACHED = 300_000
+LEXICON, LONGEST = 250_000, 64
+#: Entries of a worker's cache of words; a cache is emptied when full, and that of runs holds twice as many.
+CACHED = 500_000
+#: Code points whose new words are looked up together.
+TOGETHER = 1_000_000
 
 # White space as the tokenizer's patterns have it, which leaves out U+001C to U+001F.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SEPARATORS = regex.compile(SPACE + "+")
-_NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
+_WIDE_SPACES = [chr(c) for c in range(0x80, 0x3001) if _SEPARATORS.match(chr(c))]
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"  # which str.split takes for white space
+_ASCII_SPACE = re.compile(r"[\t-\r ]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,9 +69,13 @@ class WordBpe:
         spec = json.loads(raw)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.end = model["end_of_word_suffix"] or ""
         self.letters = byte_letters()
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.rank = {self.vocab[a] << 32 | self.vocab[b]: i for i, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
+        self._one = [self.vocab.get(self.letters[b]) for b in range(256)]
+        self._last = [self.vocab.get(self.letters[b] + self.end) for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split.replace(r"[^\s", "[^" + SPACE[1:-1]))
@@ -82,31 +93,36 @@ class WordBpe:
                 yield i % 2 == 1, piece
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Normalised runs without white space; no word crosses their ends."""
+    def normalised(text: str) -> str:
+        """The text as the pattern sees it, with a space for each run of white space beyond ASCII; no word crosses white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter, sigma has one lower case
-        text = text.lower()
-        return [c for c in _SEPARATORS.split(text) if c] if _NOT_SPACE.search(text) else text.split()
+            if any(x in text for x in _WIDE_SPACES):
+                text = _SEPARATORS.sub(" ", text)
+        return text.lower()
+
+    @classmethod
+    def runs(cls, text: str) -> list[str]:
+        text = cls.normalised(text)
+        return [r for r in _ASCII_SPACE.split(text) if r] if any(x in text for x in _NOT_SPACE) else text.split()
 
     def merge(self, word: str) -> list[int]:
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.end
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: rank.get(p, 1 << 60))
-            if best not in rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(best[0] + best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        raw = word.encode()
+        ids = [self._one[b] for b in raw[:-1]]
+        ids.append(self._last[raw[-1]])
+        if None in ids:  # a letter that the vocabulary lacks is left out, and nothing merges across it
+            ids = [-1 if i is None else i for i in ids]
+        rank, made, never = self.rank.get, self.made, 1 << 60
+        ranks = [rank(a << 32 | b, never) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)  # the leftmost of the lowest rank
+            ids[i] = new = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | new, never)
+            if i < len(ranks):
+                ranks[i] = rank(new << 32 | ids[i + 1], never)
+        return [i for i in ids if i >= 0] if -1 in ids else ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
@@ -216,55 +232,93 @@ class Transducer:
         return out
 
 
-class Codec:
-    """Encodes texts: transducer first, exact merges for what it lacks."""
+def _stretches(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """About TOGETHER code points at a time, null as empty."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    def __init__(self, tokenizer: bytes, lexicon: bytes):
-        self.bpe, self.lexicon = WordBpe(tokenizer), Transducer.mapped(lexicon)
+
+class Encoder:
+    """Encodes texts over a cache of words; ``unseen`` gives the ids of words that it lacks.
+
+    Normalised texts are cut at white space and dictionary-encoded a stretch at a
+    time, so Python handles distinct runs only; the ids are then gathered by numpy.
+    """
+
+    def __init__(self, bpe: WordBpe, unseen: Callable[[list[str]], Iterable[bytes]]):
+        self.bpe, self.unseen = bpe, unseen
         self._words: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._runs: dict[str, bytes] = {"": b""}
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def _learn(self, runs: list[str]) -> None:
         if len(self._words) > CACHED:
             self._words.clear()
-        split = {c: self.bpe.words.findall(c) for c in chunks}
-        new = [w for w in {w for ws in split.values() for w in ws} if w not in self._words]
-        lex = self.lexicon
-        for word, n in zip(new, lex.numbers([w.encode() for w in new]).tolist(), strict=True):
-            ids = lex.ids[lex.offsets[n] : lex.offsets[n + 1]] if n >= 0 else np.array(self.bpe.merge(word), "<u4")
-            self._words[word] = ids.astype("<u4").tobytes()
-        for c, ws in split.items():
-            self._chunks[c] = b"".join(map(self._words.__getitem__, ws))
+        split = [self.bpe.words.findall(r) for r in runs]
+        new = [w for w in {w for ws in split for w in ws} if w not in self._words]
+        self._words.update(zip(new, self.unseen(new), strict=True))
+        for r, ws in zip(runs, split, strict=True):
+            self._runs[r] = b"".join(map(self._words.__getitem__, ws))
+
+    def _known(self, runs: list[str]) -> list[bytes]:
+        if len(self._runs) > 2 * CACHED:
+            self._runs = {"": b""}
+        if missing := [r for r in runs if r not in self._runs]:
+            self._learn(missing)
+        return list(map(self._runs.__getitem__, runs))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            out = []
-            for special, piece in self.bpe.pieces(text or ""):
-                if special:
-                    out.append(self.bpe.special[piece].to_bytes(4, "little"))
-                    continue
-                chunks = self.bpe.chunks(piece)
-                known = self._chunks
-                if missing := [c for c in set(chunks) if c not in known]:
-                    if len(known) > CACHED:
-                        known.clear()
-                        missing = set(chunks)
-                    self._learn(missing)
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            yield b"".join(out)
-
-
-_codecs: dict[str, Codec] = {}
+        for some in _stretches(texts):
+            yield from self._encode(some)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        # a text with special tokens takes its pieces one by one
+        apart = {i: list(self.bpe.pieces(t)) for i, t in enumerate(texts) if any(x in t for x in self.bpe.special)}
+        plain = pa.array(["" if i in apart else self.bpe.normalised(t) for i, t in enumerate(texts)], pa.large_string())
+        listed = pc.ascii_split_whitespace(plain)
+        coded = listed.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<u4")
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        # the i-th run's ids, one run after another
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[listed.offsets.to_numpy() - listed.offsets[0].as_py()]
+        for i in range(len(texts)):
+            if i in apart:
+                yield b"".join(self.bpe.special[p].to_bytes(4, "little") if special else b"".join(self._known(self.bpe.runs(p))) for special, p in apart[i])
+            else:
+                yield ids[edges[i] : edges[i + 1]].tobytes()
+
+
+class Codec(Encoder):
+    """Encodes texts: transducer first, exact merges for what it lacks."""
+
+    def __init__(self, tokenizer: bytes, lexicon: bytes):
+        super().__init__(WordBpe(tokenizer), self._from_lexicon)
+        self.lexicon = Transducer.mapped(lexicon)
+        self._ids = self.lexicon.ids.astype("<u4").tobytes()
+        self._ends = self.lexicon.offsets.astype(np.int64) * 4
+
+    def _from_lexicon(self, words: list[str]) -> Iterator[bytes]:
+        numbers = self.lexicon.numbers([w.encode() for w in words])
+        ends = self._ends
+        for word, n, a, b in zip(words, numbers.tolist(), ends[numbers].tolist(), ends[numbers + 1].tolist(), strict=True):
+            yield self._ids[a:b] if n >= 0 else array("I", self.bpe.merge(word)).tobytes()
 
 
 def codec(tokenizer: bytes, lexicon: bytes) -> Codec:
     """One per worker process."""
-    name = hashlib.sha256(tokenizer + lexicon).hexdigest()
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(tokenizer, lexicon)
-    return _codecs[name]
+    return resident(("codec", hash(tokenizer), hash(lexicon)), lambda: Codec(tokenizer, lexicon))
 
 
 def word_counts(docs: DataFrame, text: str, tokenizer: bytes) -> DataFrame:
@@ -272,22 +326,24 @@ def word_counts(docs: DataFrame, text: str, tokenizer: bytes) -> DataFrame:
     raw = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bpe, seen = WordBpe(raw.value), Counter()
 
         def flushed() -> pa.RecordBatch:
             words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in bpe.words.findall(chunk):
+            for run, n in seen.items():
+                for w in bpe.words.findall(run):
                     if len(w) <= LONGEST:
                         words[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for special, piece in bpe.pieces(t or ""):
-                    if not special:
-                        seen.update(bpe.chunks(piece))
+            for texts in _stretches(batch.column(0).to_pylist()):
+                plain = pa.array([bpe.normalised(p) for t in texts for special, p in bpe.pieces(t) if not special], pa.large_string())
+                counts = pc.value_counts(pc.ascii_split_whitespace(plain).flatten())
+                for run, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+                    seen[run] += n
                 if len(seen) > CACHED:
                     yield flushed()
         yield flushed()

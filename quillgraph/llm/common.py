@@ -7,6 +7,9 @@ is a Parquet table in the folder that the session names in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -17,7 +20,14 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What a Python worker gets at once: rows, and bytes (texts can be very long).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; from here on Python workers of the session get small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +52,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_resident: dict = {}
+
+
+def resident(name, make):
+    """What a worker process keeps between tasks (a model, caches): one thing at a time, whatever operators share the worker."""
+    if name not in _resident:
+        release()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def release() -> None:
+    """Before a task that builds large tables of its own."""
+    _resident.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can hand memory back
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text):
     """Lower-case A-Z alone. ``lower`` does that, and faster, where the text has no other letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

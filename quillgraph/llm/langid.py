@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import release, resident, table
 
 ORDER, SYMBOLS = 4, 64
 #: 4-grams kept per language at most; what the limit of the cross-entropy allows.
 GRAMS, SPREAD, SHORT = 400_000, 6.0, 6.0
 #: Code points handled at once.
-CHUNK = 4_000_000
+CHUNK = 500_000
+#: Counts of 4-grams that a task holds before it adds up the like.
+MERGED = 1_500_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -100,21 +102,24 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) over all rows of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[str, list] = {}
 
-        def add(name: str, codes: np.ndarray, n: np.ndarray) -> None:
-            if name in held:
-                both, where = np.unique(np.concatenate([held[name][0], codes]), return_inverse=True)
-                codes, n = both, np.bincount(where, np.concatenate([held[name][1], n])).astype(np.int64)
-            held[name] = [codes, n]
+        def merge(name: str) -> None:
+            codes, where = np.unique(np.concatenate([c for c, _ in held[name]]), return_inverse=True)
+            held[name] = [(codes, np.bincount(where, np.concatenate([n for _, n in held[name]])).astype(np.int64))]
 
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), dtype=object)
             texts = np.array(batch.column(0).to_pylist(), dtype=object)
             for name in sorted(set(names)):
                 for _, some in chunked(list(texts[names == name])):
-                    add(name, *np.unique(grams(some)[0], return_counts=True))
-        for name, (codes, n) in held.items():
+                    held.setdefault(name, []).append(np.unique(grams(some)[0], return_counts=True))
+                    if sum(len(c) for c, _ in held[name]) > MERGED:
+                        merge(name)
+        for name in held:
+            merge(name)
+            codes, n = held[name][0]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -211,16 +216,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> bytes:
     return pickle.dumps((models, limits))
 
 
-_scorers: dict[int, tuple] = {}
-
-
 def _scorer(raw: bytes) -> tuple[Scorer, dict[str, float]]:
-    key = hash(raw)
-    if key not in _scorers:
-        _scorers.clear()
+    def make() -> tuple[Scorer, dict[str, float]]:
         models, limits = pickle.loads(raw)
-        _scorers[key] = Scorer(models), limits
-    return _scorers[key]
+        return Scorer(models), limits
+
+    return resident(("languages", hash(raw)), make)
 
 
 def predict(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:

@@ -25,9 +25,9 @@ documents of their own; an empty table gives no blocks.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,13 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.bpe import public_tokenizer
-from quillgraph.llm.common import partitions, table, written
+from quillgraph.llm.bpe import Encoder, WordBpe, public_tokenizer
+from quillgraph.llm.common import partitions, resident, table, written
 
 #: Ids after which a block closes.
 BLOCK = 1 << 18
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHED = 300_000
 
 FILE_SCHEMA = "part int, block int, before long, bits int, n_ids long, doc_ids binary, ends binary, payload binary"
 
@@ -71,53 +69,29 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return raw.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-class LibraryEncoder:
-    """The tokenizers library with a cache of white-space runs, which encode alike wherever they stand.
-
-    A text in which that might not hold (special tokens, or separators that the
-    library does not take as white space) is encoded at once.
-    """
+class LibraryEncoder(Encoder):
+    """The tokenizers library, asked once for each word while that is in the cache."""
 
     def __init__(self, tokenizer: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(WordBpe(tokenizer), self._from_library)
         self.lib = Tokenizer.from_str(tokenizer.decode())
         self.lib.no_truncation()
         self.lib.no_padding()
         self.size = self.lib.get_vocab_size()
-        self._whole = re.compile("[\x1c-\x1f]|" + "|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()))
-        self._runs: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            if not text:
-                yield b""
-                continue
-            if self._whole.search(text):
-                yield self._ids(text)
-                continue
-            runs, known = text.split(), self._runs
-            if missing := [r for r in set(runs) if r not in known]:
-                if len(known) > CACHED:
-                    known.clear()
-                    missing = list(set(runs))
-                for r, e in zip(missing, self.lib.encode_batch(missing, add_special_tokens=False), strict=True):
-                    known[r] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(known.__getitem__, runs))
-
 
-_encoders: dict[bytes, LibraryEncoder] = {}
+    def _from_library(self, words: list[str]) -> Iterator[bytes]:
+        # the model alone: a word is normalised already, and must not be again
+        split, letters = self.lib.model.tokenize, self.bpe.letters
+        for w in words:
+            yield array("I", [t.id for t in split("".join([letters[b] for b in w.encode()]))]).tobytes()
 
 
 def encoder(tokenizer: bytes) -> LibraryEncoder:
-    if tokenizer not in _encoders:
-        _encoders.clear()
-        _encoders[tokenizer] = LibraryEncoder(tokenizer)
-    return _encoders[tokenizer]
+    """One per worker process."""
+    return resident(("library", hash(tokenizer)), lambda: LibraryEncoder(tokenizer))
 
 
 def id_ranges(docs: DataFrame, key: str, parts: int) -> list[int]:

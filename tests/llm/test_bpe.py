@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quillgraph.llm import bpe
+from quillgraph.llm import bpe, packing
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -22,12 +22,13 @@ def test_encode_and_decode_match_the_library(known):
     lib = tokenizers.Tokenizer.from_file(PATH)
     model = bpe.WordBpe(raw)
     lexicon = bpe.Transducer.compiled((w.encode(), model.merge(w)) for w in known).to_bytes()
-    codec = bpe.Codec(raw, lexicon)
+    codec, wrapped = bpe.Codec(raw, lexicon), packing.LibraryEncoder(raw)
     rng = random.Random(5)
     letters = alphabet()
     texts = [None, "", " ", "Don't we'll <|endoftext|>x<|startoftext|>", "ΟΔΟΣ ΟΔΟΣ", "İstanbul H̱", "the there THERE été 123 a1b2", "x" * 500]
     texts += ["".join(rng.choices(letters, k=rng.randrange(1, 60))) for _ in range(1500)]
-    for t, got in zip(texts, codec.encode(texts), strict=True):
+    for t, got, same in zip(texts, codec.encode(texts), wrapped.encode(texts), strict=True):
+        assert got == same
         want = lib.encode(t or "", add_special_tokens=False).ids
         ids = np.frombuffer(got, "<u4")
         assert ids.tolist() == want, t
