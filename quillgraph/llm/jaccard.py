@@ -6,12 +6,14 @@ work is on classes. Links are found in two steps, neither of which loses one:
 
 1. Grouping by leading paths. For a similarity of t percent the sets differ in
    at most e = floor((100 - t) / (100 + t) * (|x| + |y|)) elements. The hash
-   range is cut into e + 1 equal parts, each a run of the global order, and a
-   prefix tree is thought of for each part, with that part's run first. By the
-   pigeonhole principle two similar sets agree on a whole run, so they share the
-   leading path of that tree. Only the hash of the path is dealt out. Since e
-   depends on the sizes, sizes fall into classes (``GROWTH`` apart) and a small
-   set also takes the cut of the class below, if a partner can be there.
+   range is cut into more than e equal parts, each a run of the global order,
+   and a prefix tree is thought of for each part, with that part's run first.
+   By the pigeonhole principle two similar sets agree on a whole run, so they
+   share the leading path of that tree; and they do so among the e + 1 longest
+   runs of either, so the short ones, on which unlike sets agree by chance, are
+   not used. Only the hashes of paths are dealt out. Since e depends on the
+   sizes, sizes fall into classes (``GROWTH`` apart) and a small set also takes
+   the cut of the class below, if a partner can be there.
    Classes that share a path are joined to the path's smallest member, and the
    components of that graph are the blocks: no link leaves a block.
 2. A prefix tree per block. Sets are inserted in the global order, each after
@@ -32,6 +34,7 @@ null id links but is never a component's id; repeated rows keep a row each.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +43,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import wordhash
-from quillgraph.llm.common import table, written
+from quillgraph.llm.common import release, table, written
 from quillgraph.llm.components import components
 
 #: Size classes are this factor apart; text bytes of a sub-block; rows of paths that a task holds for dropping duplicates.
-GROWTH, BLOCK, HELD = 1.5, 8_000_000, 500_000
+GROWTH, BLOCK, HELD = 1.5, 1_000_000, 500_000
+#: Parts of a cut over the elements in which sets can differ; elements of a long run that a probe compares first.
+SPARE, STRETCH = 1.3, 32
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -78,38 +83,54 @@ def bound(k: int) -> int:
     return int(np.ceil(GROWTH**k))
 
 
+def differing(size: int, percent: int) -> int:
+    """Elements in which a set of this size and any similar one differ at most."""
+    return (size + size * 100 // percent) * (100 - percent) // (100 + percent)
+
+
 def cuts(size: int, percent: int) -> list[tuple[int, int]]:
     """(class, parts) of the cuts that a set of this size takes part in: its own, and the one below if it can have a partner there.
 
-    The cut of class k serves pairs whose smaller set is in class k; the larger has at most 100 / percent times its size.
+    The cut of class k serves pairs whose smaller set is in class k.
     """
     own = size_class(size)
-    out = []
-    for k in (own, own - 1):
-        if k < 0 or k < own and size * percent > 100 * (bound(own) - 1):
-            continue
-        small = bound(k + 1) - 1
-        both = small + small * 100 // percent
-        out.append((k, both * (100 - percent) // (100 + percent) + 1))
-    return out
+    classes = [own, own - 1] if own and size * percent <= 100 * (bound(own) - 1) else [own]
+    return [(k, int(SPARE * differing(bound(k + 1) - 1, percent)) + 1) for k in classes]
 
 
 def paths(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the leading paths of a set, one per cut and part. Empty parts agree with empty parts."""
+    """Hashes of the leading paths of a set: per cut, of as many of its longest runs as a similar set could differ in, and one more.
+
+    Runs on which two sets agree are as long in both and stand in the same
+    order, and before the first of them stand at most the runs in which the
+    sets differ; so that one is among the chosen runs of both.
+    """
     out = []
+    mixed = np.concatenate([[np.uint64(0)], np.cumsum(wordhash.mix(s, 7), dtype=np.uint64)])
+    take = differing(len(s), percent) + 1
     for k, parts in cuts(len(s), percent):
-        edges = np.searchsorted(s, (np.arange(parts, dtype=object) * (1 << 64) // parts).astype(np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(wordhash.mix(s, 7), dtype=np.uint64)])
-        ends = np.append(edges[1:], len(s))
-        run = sums[ends] - sums[edges]
-        out.append(wordhash.mix(run + wordhash.mix(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32), 11), 13))
+        edges = np.searchsorted(s, _edges(parts))
+        sizes = np.diff(np.append(edges, len(s)))
+        longest = np.argsort(-sizes, kind="stable")[:take]
+        run = mixed[edges[longest] + sizes[longest]] - mixed[edges[longest]]
+        out.append(wordhash.mix(run + wordhash.mix(longest.astype(np.uint64) + np.uint64(k << 32), 11), 13))
     return np.concatenate(out)
 
 
+_edge_cache: dict[int, np.ndarray] = {}
+
+
+def _edges(parts: int) -> np.ndarray:
+    """Where each part of the hash range begins."""
+    if parts not in _edge_cache:
+        _edge_cache[parts] = np.array([i * (1 << 64) // parts for i in range(parts)], dtype=np.uint64)
+    return _edge_cache[parts]
+
+
 class Node:
     __slots__ = ("children", "depth", "end", "high", "low", "one", "run")
 
-    def __init__(self, run: np.ndarray, depth: int, low: int, high: int):
+    def __init__(self, run: list[int], depth: int, low: int, high: int):
         self.run, self.depth, self.low, self.high = run, depth, low, high  # depth: elements down to the end of the run
         self.children: dict[int, Node] = {}
         self.end = -1  # the set that ends here
@@ -121,9 +142,8 @@ class PrefixTree:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.sets: list[np.ndarray] = []
         self.parent: list[int] = []
-        self.root = Node(np.zeros(0, np.uint64), 0, 1 << 60, 0)
+        self.root = Node([], 0, 1 << 60, 0)
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -135,22 +155,17 @@ class PrefixTree:
         i, j = self.find(i), self.find(j)
         self.parent[max(i, j)] = min(i, j)
 
-    def _possible(self, node: Node, shared: int, left: int, size: int) -> bool:
-        """Can a set below ``node`` reach the threshold? ``left``: elements of the probe beyond the node's path."""
-        best = min(max(node.depth + left, node.low), node.high)
-        most = shared + min(left, best - node.depth)
-        return (100 + self.percent) * most >= self.percent * (size + best)
-
-    def add(self, x: np.ndarray) -> int:
-        me = len(self.sets)
-        self.sets.append(x)
+    def add(self, elements: np.ndarray) -> int:
+        """Of sorted distinct elements; returns the number of the set."""
+        me, x = len(self.parent), elements.tolist()
         self.parent.append(me)
         self._probe(x, me)
         self._insert(x, me)
         return me
 
-    def _probe(self, x: np.ndarray, me: int) -> None:
-        size, find = len(x), self.find
+    def _probe(self, x: list[int], me: int) -> None:
+        size, find, percent = len(x), self.find, self.percent
+        own = set(x)
         stack: list[tuple[Node, int, bool]] = [(self.root, 0, False)]
         while stack:
             node, shared, done = stack.pop()
@@ -159,25 +174,31 @@ class PrefixTree:
                 continue
             if node.one >= 0 and find(node.one) == find(me):
                 continue
-            run = node.run
-            if len(run):
-                at = np.searchsorted(x, run)
-                shared += int(np.count_nonzero(x[np.minimum(at, size - 1)] == run))
-                beyond = int(at[-1]) + int(at[-1] < size and x[at[-1]] == run[-1])
-            else:
-                beyond = 0
-            if not self._possible(node, shared, size - beyond, size):
+            run, at, beyond, step = node.run, 0, 0, STRETCH
+            depth = node.depth - len(run)
+            possible = True
+            while at < len(run) and possible:
+                some = run[at : at + step] if at or len(run) > step else run
+                shared += len(own.intersection(some))
+                at, step, depth = at + len(some), step * 2, depth + len(some)
+                beyond = bisect_right(x, some[-1])
+                # can a set below reach the threshold, this far down? At best its length is what makes the most of what is left of both.
+                left = size - beyond
+                best = min(max(depth + left, node.low), node.high)
+                possible = (100 + percent) * (shared + min(left, best - depth)) >= percent * (size + best)
+            if not possible:
                 continue
-            if node.end >= 0 and 100 * shared >= self.percent * (size + node.depth - shared):
+            if node.end >= 0 and 100 * shared >= percent * (size + node.depth - shared):
                 self._join(me, node.end)
             if node.one == -2:
                 stack.append((node, 0, True))
             if node.children:
+                mine = find(me)
                 # the child on the probe's own path is walked first
-                own = node.children.get(int(x[beyond])) if beyond < size else None
-                stack += [(c, shared, False) for c in node.children.values() if c is not own]
-                if own is not None:
-                    stack.append((own, shared, False))
+                first = node.children.get(x[beyond]) if beyond < size else None
+                stack += [(c, shared, False) for c in node.children.values() if c is not first and (c.one < 0 or find(c.one) != mine)]
+                if first is not None:
+                    stack.append((first, shared, False))
 
     def _settle(self, node: Node) -> None:
         """Has everything below come into one component?"""
@@ -185,7 +206,7 @@ class PrefixTree:
         if -2 not in below and len({self.find(i) for i in below}) == 1:
             node.one = below[0]
 
-    def _insert(self, x: np.ndarray, me: int) -> None:
+    def _insert(self, x: list[int], me: int) -> None:
         node, at = self.root, 0
         while True:
             node.low, node.high = min(node.low, len(x)), max(node.high, len(x))
@@ -196,20 +217,20 @@ class PrefixTree:
             if at == len(x):
                 node.end = me
                 return
-            key = int(x[at])
+            key = x[at]
             child = node.children.get(key)
             if child is None:
                 leaf = Node(x[at:], len(x), len(x), len(x))
                 leaf.end = leaf.one = me
                 node.children[key] = leaf
                 return
-            m = min(len(child.run), len(x) - at)
-            differ = np.flatnonzero(child.run[:m] != x[at : at + m])
-            same = int(differ[0]) if len(differ) else m
+            m, same = min(len(child.run), len(x) - at), 1
+            while same < m and child.run[same] == x[at + same]:
+                same += 1
             if same < len(child.run):
                 upper = Node(child.run[:same], child.depth - len(child.run) + same, child.low, child.high)
                 upper.one = child.one
-                upper.children[int(child.run[same])] = child
+                upper.children[child.run[same]] = child
                 child.run = child.run[same:]
                 node.children[key] = upper
                 child = upper
@@ -235,6 +256,7 @@ def leading_paths(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(path, cid): what each class is dealt by, once per class and stretch of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[bytes] = set()
         for b in batches:
             for s in shingle_sets(b.column(0).to_pylist(), n):
