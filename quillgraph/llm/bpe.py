@@ -45,7 +45,7 @@ LEXICON, LONGEST = 250_000, 64
 #: Entries of a worker's cache of words; a cache is emptied when full, and that of runs holds twice as many.
 CACHED = 500_000
 #: Code points whose new words are looked up together.
-TOGETHER = 1_000_000
+TOGETHER = 2_000_000
 
 # White space as the tokenizer's patterns have it, which leaves out U+001C to U+001F.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -269,9 +269,11 @@ class Encoder:
     def _known(self, runs: list[str]) -> list[bytes]:
         if len(self._runs) > 2 * CACHED:
             self._runs = {"": b""}
-        if missing := [r for r in runs if r not in self._runs]:
+        found = list(map(self._runs.get, runs))
+        if missing := [r for r, ids in zip(runs, found, strict=True) if ids is None]:
             self._learn(missing)
-        return list(map(self._runs.__getitem__, runs))
+            found = list(map(self._runs.__getitem__, runs))
+        return found
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -86,7 +86,8 @@ class LibraryEncoder(Encoder):
         # the model alone: a word is normalised already, and must not be again
         split, letters = self.lib.model.tokenize, self.bpe.letters
         for w in words:
-            yield array("I", [t.id for t in split("".join([letters[b] for b in w.encode()]))]).tobytes()
+            own = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])
+            yield array("I", [t.id for t in split(own)]).tobytes()
 
 
 def encoder(tokenizer: bytes) -> LibraryEncoder:
