@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vocab
 from quillgraph.functions.text import confidence
 from quillgraph.operators import tree
+from quillgraph.operators.cut import cut
 
 CANDIDATE = ["rule_id", "rule_ord", "relation", "document_id", "sentence_index", "seq", "subject_arg", "object_arg", "inferred", "context_entity", "notes", "reason"]
 
@@ -118,11 +119,12 @@ def _contains(rows: DataFrame, rule: str, subject: str, obj: str, seq: Column, n
 
 def extract(tokens: DataFrame, chunks: DataFrame, resolutions: DataFrame, lexicon: DataFrame, sents: DataFrame, optional: bool = True) -> tuple[DataFrame, DataFrame]:
     """(candidates, skipped) of all documents."""
-    above = tree.ancestors(tokens)
-    args = tree.arguments(tokens, chunks, resolutions, lexicon)
+    above = cut(tree.ancestors(tokens))
+    args = cut(tree.arguments(tokens, chunks, resolutions, lexicon))
     found = _judged(_verb_rules(tokens, above, args, rule_table(tokens.sparkSession, optional))).select(*CANDIDATE)
     if optional:
         found = found.unionByName(_inside(tokens, args).select(*CANDIDATE)).unionByName(_possessive(tokens, args).select(*CANDIDATE))
+    found = cut(found)
     found = found.join(sents.select("document_id", "sentence_index", F.col("text").alias("sentence")), ["document_id", "sentence_index"], "left")
     s, o = F.col("subject_arg"), F.col("object_arg")
     good = found.where("reason IS NULL").select(

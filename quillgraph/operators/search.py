@@ -8,13 +8,12 @@ an edge's place is (src, relation, dst, document_id).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vocab
 from quillgraph.functions.text import inverse_phrase
+from quillgraph.operators.cut import cut
 from quillgraph.plans.question import Pattern, Plan, Term
 
 PROVENANCE = ("document_id", "sentence_id", "triple_id", "sentence", "rule_id", "confidence", "coref_resolved", "inferred", "original_subject", "original_object")
@@ -130,25 +129,14 @@ def plan_union(edges: DataFrame, plan: Plan, labels: DataFrame) -> DataFrame:
     return out.groupBy("entity_id", "answer").agg(F.min(F.struct("plan_no", "place")).alias("m")).select("entity_id", "answer", "m.plan_no", "m.place")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, so that a level is not worked out once more by every later one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def neighbourhood(edges: DataFrame, entity_id: str, depth: int) -> DataFrame:
     """(entity_id, distance): nodes within ``depth`` undirected hops, the start included; none for an unknown start."""
-    both = _cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     seen = both.where(F.col("src") == entity_id).select(F.col("src").alias("entity_id")).distinct().withColumn("distance", F.lit(0))
     for d in range(1, depth + 1):
         edge_of = seen.where(F.col("distance") == d - 1).select(F.col("entity_id").alias("src"))
         new = both.join(edge_of, "src", "left_semi").select(F.col("dst").alias("entity_id")).distinct().join(seen, "entity_id", "left_anti")
-        seen = _cut(seen.unionByName(new.withColumn("distance", F.lit(d))))
+        seen = cut(seen.unionByName(new.withColumn("distance", F.lit(d))))
     return seen
 
 
@@ -163,7 +151,7 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 3) -> Dat
     hop = F.struct(F.col("node").alias("from_id"), F.col("relation"), F.col("next").alias("to_id"), "document_id", "direction", "triple_id")
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "relation", "document_id", "triple_id", F.lit("forward").alias("direction"), F.array(F.lit("0"), "src", "relation", "dst", "document_id").alias("here"))
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"), "relation", "document_id", "triple_id", F.lit("reverse").alias("direction"), F.array(F.lit("1"), "src", "relation", "dst", "document_id").alias("here"))
-    moves = _cut(out.unionByName(back))
+    moves = cut(out.unionByName(back))
     spark = edges.sparkSession
     frontier = spark.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("nodes"), F.array().cast("array<struct<from_id:string,relation:string,to_id:string,document_id:string,direction:string,triple_id:string>>").alias("hops"), F.array().cast("array<string>").alias("place"))
     seen = frontier.select("node")
@@ -175,7 +163,7 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 3) -> Dat
         found = hits if found is None else found.unionByName(hits)
         if d < max_depth:
             new = step.where(F.col("next") != target).join(seen.select(F.col("node").alias("next")), "next", "left_anti")
-            frontier = _cut(new.groupBy("next").agg(F.min(F.struct("place", "nodes", "hops")).alias("m")).select(F.col("next").alias("node"), "m.nodes", "m.hops", "m.place"))
+            frontier = cut(new.groupBy("next").agg(F.min(F.struct("place", "nodes", "hops")).alias("m")).select(F.col("next").alias("node"), "m.nodes", "m.hops", "m.place"))
             seen = seen.unionByName(frontier.select("node"))
     if found is None:
         found = frontier.where("false").select(F.lit(0).alias("length"), "nodes", "hops", "place")

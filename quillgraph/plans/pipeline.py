@@ -23,7 +23,7 @@ class Graph:
 
 
 def build(tokens: DataFrame, chunks: DataFrame, resolutions: DataFrame, lexicon: DataFrame, sentences: DataFrame, optional: bool = True, progress: Callable[[str], None] = lambda _: None) -> Graph:
-    """Nothing runs here; sinks do. ``tokens`` come from any parser (``quillgraph.plans.shallow`` has a plain one)."""
+    """Nothing runs here; sinks do. ``tokens`` come from any parser (``quillgraph.operators.shallow`` is a plain one)."""
     progress(STAGES[0])
     candidates, skipped = rules.extract(tokens, chunks, resolutions, lexicon, sentences, optional)
     progress(STAGES[1])
