@@ -7,9 +7,11 @@ is a Parquet table in the folder that the session names in
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a fresh local one only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quill-")
+        own = tempfile.mkdtemp(prefix="quill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
