@@ -40,3 +40,10 @@ def integrity_diff(manifest: DataFrame, actual: DataFrame, key: str = "filename"
     both = a.join(b, key, "full")
     problem = F.when(F.col("__have").isNull(), "MISSING").when(F.col("__want").isNull(), "EXTRA").when(F.col("__have") != F.col("__want"), "DRIFTED")
     return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def verify(manifest: DataFrame, docs: DataFrame) -> DataFrame:
+    """(filename, problem) of a corpus against its manifest: files missing, extra or drifted, and files that are empty or have several lines."""
+    own = docs.select("filename", "sha256", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("__t"))
+    text = F.when(F.col("__t") == "", "EMPTY").when(F.contains("__t", F.lit("\n")), "MULTILINE")
+    return integrity_diff(manifest, own).unionByName(own.select("filename", text.alias("problem")).where("problem IS NOT NULL"))

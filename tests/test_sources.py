@@ -91,3 +91,25 @@ def test_nothing_imports_the_training_data_package():
         for f in files:
             if f.endswith(".py") and os.path.basename(folder) != "llm":
                 assert "quillgraph.llm" not in open(os.path.join(folder, f)).read()
+
+
+def test_manifest_problems(spark):
+    want = spark.createDataFrame([("a.txt", "1"), ("b.txt", "2"), ("c.txt", "3")], "filename string, sha256 string")
+    have = spark.createDataFrame([("a.txt", "1", "One."), ("b.txt", "9", "x\ny"), ("d.txt", "4", " \n")], "filename string, sha256 string, text string")
+    got = {(r["filename"], r["problem"]) for r in corpus.verify(want, have).collect()}
+    assert got == {("b.txt", "DRIFTED"), ("c.txt", "MISSING"), ("d.txt", "EXTRA"), ("b.txt", "MULTILINE"), ("d.txt", "EMPTY")}
+
+
+def test_command_line_builds_a_graph(spark, tmp_path, capsys):
+    import json
+
+    from quillgraph.__main__ import main
+
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "d1.txt").write_text("Helios Bank uses OrionEdge. The company leads Project Aurora.")
+    records = [{"label": "Helios Bank", "type": "ORGANIZATION"}, {"label": "OrionEdge", "type": "PRODUCT"}, {"label": "Project Aurora", "type": "PROJECT"}]
+    (tmp_path / "lexicon.json").write_text(json.dumps({"entities": records}))
+    main([str(tmp_path / "texts"), str(tmp_path / "lexicon.json"), str(tmp_path / "out")])
+    assert "triples 2" in capsys.readouterr().out
+    got = {(r["subject"], r["relation"], r["object"], r["confidence"]) for r in artifacts.read_triples_csv(spark, str(tmp_path / "out" / "triples_csv")).collect()}
+    assert got == {("Helios Bank", "uses", "OrionEdge", 1.0), ("Helios Bank", "leads", "Project Aurora", 0.9)}
