@@ -43,9 +43,9 @@ from quillgraph.llm.common import release, resident, table, written
 #: Words in the transducer at most, and their length in bytes.
 LEXICON, LONGEST = 250_000, 64
 #: Entries of a worker's cache of words; a cache is emptied when full, and that of runs holds twice as many.
-CACHED = 500_000
+CACHED = 100_000
 #: Code points whose new words are looked up together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 
 # White space as the tokenizer's patterns have it, which leaves out U+001C to U+001F.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -252,22 +252,26 @@ class Encoder:
     time, so Python handles distinct runs only; the ids are then gathered by numpy.
     """
 
-    def __init__(self, bpe: WordBpe, unseen: Callable[[list[str]], Iterable[bytes]]):
-        self.bpe, self.unseen = bpe, unseen
+    def __init__(self, bpe: WordBpe, unseen: Callable[[list[str]], Iterable[bytes]], cached: int = CACHED):
+        self.bpe, self.unseen, self.cached = bpe, unseen, cached
         self._words: dict[str, bytes] = {}
         self._runs: dict[str, bytes] = {"": b""}
 
     def _learn(self, runs: list[str]) -> None:
-        if len(self._words) > CACHED:
+        if len(self._words) > self.cached:
             self._words.clear()
-        split = [self.bpe.words.findall(r) for r in runs]
-        new = [w for w in {w for ws in split for w in ws} if w not in self._words]
-        self._words.update(zip(new, self.unseen(new), strict=True))
-        for r, ws in zip(runs, split, strict=True):
-            self._runs[r] = b"".join(map(self._words.__getitem__, ws))
+        single = [r for r in runs if r.isalpha()]  # letters alone are one word
+        split = [(r, self.bpe.words.findall(r)) for r in runs if not r.isalpha()]
+        new = [w for w in {*single, *(w for _, ws in split for w in ws)} if w not in self._words]
+        known = self._words
+        known.update(zip(new, self.unseen(new), strict=True))
+        for r in single:
+            self._runs[r] = known[r]
+        for r, ws in split:
+            self._runs[r] = b"".join(map(known.__getitem__, ws))
 
     def _known(self, runs: list[str]) -> list[bytes]:
-        if len(self._runs) > 2 * CACHED:
+        if len(self._runs) > 2 * self.cached:
             self._runs = {"": b""}
         found = list(map(self._runs.get, runs))
         if missing := [r for r, ids in zip(runs, found, strict=True) if ids is None]:
@@ -346,7 +350,7 @@ def word_counts(docs: DataFrame, text: str, tokenizer: bytes) -> DataFrame:
                 counts = pc.value_counts(pc.ascii_split_whitespace(plain).flatten())
                 for run, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
                     seen[run] += n
-                if len(seen) > CACHED:
+                if len(seen) > 2 * CACHED:
                     yield flushed()
         yield flushed()
 

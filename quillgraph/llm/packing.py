@@ -40,6 +40,8 @@ from quillgraph.llm.common import partitions, resident, table, written
 
 #: Ids after which a block closes.
 BLOCK = 1 << 18
+#: Words that a worker's cache keeps.
+CACHED = 500_000
 
 FILE_SCHEMA = "part int, block int, before long, bits int, n_ids long, doc_ids binary, ends binary, payload binary"
 
@@ -76,7 +78,7 @@ class LibraryEncoder(Encoder):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(WordBpe(tokenizer), self._from_library)
+        super().__init__(WordBpe(tokenizer), self._from_library, CACHED)
         self.lib = Tokenizer.from_str(tokenizer.decode())
         self.lib.no_truncation()
         self.lib.no_padding()
@@ -119,9 +121,11 @@ def _blocks(bits: int, between: int):
 
         def closed() -> pa.RecordBatch:
             nonlocal docs, sizes, kept, held, block, before
-            ids = np.frombuffer(b"".join(kept), "<u4")
-            row = [part, block, before, bits, len(ids), np.array(docs, "<i8").tobytes(), np.cumsum(sizes).astype("<i8").tobytes(), pack(ids, bits)]
-            block, before = block + 1, before + len(ids)
+            payload = b"".join(kept)
+            if between != bits:
+                payload = pack(np.frombuffer(payload, f"<u{between // 8}"), bits)
+            row = [part, block, before, bits, held, np.array(docs, "<i8").tobytes(), np.cumsum(sizes).astype("<i8").tobytes(), payload]
+            block, before = block + 1, before + held
             docs, sizes, kept, held = [], [], [], 0
             names = ["part", "block", "before", "bits", "n_ids", "doc_ids", "ends", "payload"]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -129,15 +133,15 @@ def _blocks(bits: int, between: int):
 
         for batch in batches:
             for p, key, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = unpack(packed, between, 0, len(packed) * 8 // between).tobytes()
-                if docs and (p != part or held + len(ids) // 4 > BLOCK):
+                n = len(packed) * 8 // between
+                if docs and (p != part or held + n > BLOCK):
                     yield closed()
                 if p != part:
                     part, block, before = p, 0, 0
                 docs.append(NULL_ID if key is None else key)
-                sizes.append(len(ids) // 4)
-                kept.append(ids)
-                held += len(ids) // 4
+                sizes.append(n)
+                kept.append(packed)
+                held += n
         if docs:
             yield closed()
 
