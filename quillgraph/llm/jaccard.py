@@ -241,6 +241,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, th, n_shingles, cid) per row of ``docs`` (doc_id, text); ``cid`` names the set and is null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             sizes, ids = [], []
             for s in shingle_sets(b.column(2).to_pylist(), n):

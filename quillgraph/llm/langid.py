@@ -44,7 +44,7 @@ GRAMS, SPREAD, SHORT = 400_000, 6.0, 6.0
 #: Code points handled at once.
 CHUNK = 500_000
 #: Counts of 4-grams that a task holds before it adds up the like.
-MERGED = 1_500_000
+MERGED = 400_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are hashed at once.
-CHUNK = 1_000_000
+CHUNK = 400_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
