@@ -401,6 +401,22 @@ def digests(docs: DataFrame, tokenizer: bytes, lexicon: bytes) -> DataFrame:
     return made.select("doc_id", "d.*")
 
 
+def tokenized(docs: DataFrame, tokenizer: bytes, lexicon: bytes, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids`` and the digests of the ids and of the decoded text, which does not leave the worker."""
+    sc = docs.sparkSession.sparkContext
+    raw, lex = sc.broadcast(tokenizer), sc.broadcast(lexicon)
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        c, rows = codec(raw.value, lex.value), []
+        for ids in c.encode(texts):
+            back = c.bpe.decode(np.frombuffer(ids, "<u4"))
+            rows.append((len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    made = docs.withColumn("__bpe", F.pandas_udf(run, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")(F.col(text)))
+    return made.withColumns({c: F.col("__bpe")[c] for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")}).drop("__bpe")
+
+
 def public_tokenizer(name: str = "word_bpe_49k.json") -> bytes:
     import public_tokenizers
 
