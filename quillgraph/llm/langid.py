@@ -3,8 +3,9 @@
 One model of order 4 per language. Letters are lower-cased and mapped to 63
 symbols (a-z for themselves, other letters by code point modulo 36), everything
 else is symbol 0. All labelled training texts are counted, in the tasks first;
-what reaches the driver are distinct 4-grams, of which there are at most
-64 ** 4 per language and of which a model keeps the ``GRAMS`` most frequent.
+what reaches the driver are distinct 4-grams, one language at a time, of which
+there are at most 64 ** 4 per language. A model keeps all of them, so discounts,
+continuation counts and context sums are those of the whole training text.
 
 A model is stored as sorted hash arrays: for every order the hashes of its
 n-grams with their discounted shares, and the hashes of its contexts with their
@@ -36,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import release, resident, table
+from quillgraph.llm.common import release, resident, table, written
 
 ORDER, SYMBOLS = 4, 64
-#: 4-grams kept per language at most; what the limit of the cross-entropy allows.
-GRAMS, SPREAD, SHORT = 400_000, 6.0, 6.0
+#: What the limit of the cross-entropy allows.
+SPREAD, SHORT = 6.0, 6.0
 #: Code points handled at once.
 CHUNK = 500_000
-#: Counts of 4-grams that a task holds before it adds up the like.
+#: Counts of 4-grams that a task holds before it adds up the like (and twice the distinct ones, where these are more).
 MERGED = 400_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -115,7 +116,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             for name in sorted(set(names)):
                 for _, some in chunked(list(texts[names == name])):
                     held.setdefault(name, []).append(np.unique(grams(some)[0], return_counts=True))
-                    if sum(len(c) for c, _ in held[name]) > MERGED:
+                    if sum(len(c) for c, _ in held[name]) > max(MERGED, 2 * len(held[name][0][0])):
                         merge(name)
         for name in held:
             merge(name)
@@ -202,12 +203,13 @@ class Scorer:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> bytes:
     """A pickled (models, limits) of the labelled rows; ``docs`` holds training rows only."""
-    counted = gram_counts(docs, text, lang)
-    rows = counted.toPandas()  # distinct 4-grams: bounded by the alphabet
+    counted = written(gram_counts(docs, text, lang), "grams")
     models = {}
-    for name, one in rows.groupby("lang"):
-        one = one.nlargest(GRAMS, "n", keep="first").sort_values("gram")
-        models[str(name)] = KneserNey(one["gram"].to_numpy(np.int64), one["n"].to_numpy(np.int64))
+    for (name,) in counted.select("lang").distinct().orderBy("lang").collect():  # a row per language
+        one = counted.where(F.col("lang") == name).select("gram", "n").toArrow()  # distinct 4-grams: bounded by the alphabet
+        codes, n = one["gram"].to_numpy(), one["n"].to_numpy()
+        by = np.argsort(codes)
+        models[name] = KneserNey(codes[by], n[by])
     if not models:
         return pickle.dumps(({}, {}))
     scored = predict(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), pickle.dumps((models, {})))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import pickle
 import random
 import re
 import zlib
@@ -268,6 +269,18 @@ def test_model_gives_probabilities():
     assert abs(np.exp(m.log_probability(np.arange(64) + context)).sum() - 1) < 1e-6
 
 
+def test_model_keeps_all_counted_grams(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0x3B1, 0x3CA)) + "\u0144 "
+    texts = ["".join(rng.choices(letters, k=50_000)) for _ in range(12)]
+    codes, n = np.unique(langid.grams(texts)[0], return_counts=True)
+    assert len(codes) > 400_000
+    models, _ = pickle.loads(langid.train(spark.createDataFrame([(t, "en") for t in texts] + [("der wald", "de")], "text string, lang string").repartition(3)))
+    whole = langid.KneserNey(codes, n)
+    assert set(models) == {"de", "en"} and len(models["en"].grams[4][0]) == len(codes)
+    assert np.allclose(models["en"].log_probability(codes), whole.log_probability(codes))
+
+
 def test_op10(spark, folder):
     rows = {r["conv_id"]: r for r in QUERIES["op10_chat"](spark, folder).collect()}
     want = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")], 1: [("user", "Hi & <s>"), ("assistant", "[/INST]</s>&lt;"), ("assistant", "é\n")], 2: [("assistant", ""), ("", "t")], None: [("user", "x")], 3: [("user", "same")] * 2}
