@@ -5,7 +5,11 @@ text) that is below a fixed fraction of the hash range, and the smallest hash
 whatever its value, so that short texts are not empty. Both rules depend on the
 set alone: the fingerprint of a union is the union of the fingerprints (with
 the same rules applied), and sketches of very unequal texts compare, as each
-holds the same fraction of its own shingles.
+holds the same fraction of its own shingles. The exception is a sketch that
+holds nothing but a least hash beyond the fraction: a larger sketch keeps that
+value only as its own least one, so likeness is 0 whatever the texts share.
+With half of the range kept this befalls texts of a few shingles alone (chance
+1 in 1024 at ten); the README has the measured error.
 
 Likeness is the containment of the smaller sketch in the larger: the shared
 hashes over the hashes of the smaller one. Equal sketches have 1, and so have
@@ -28,8 +32,8 @@ from quillgraph.llm.common import partitions, table
 from quillgraph.llm.packing import id_ranges, range_of
 
 SHINGLE = 5
-#: One in so many shingles is kept.
-SCALE = 16
+#: One in so many shingles is kept: dense, as a text of n shingles has none of them below the fraction with chance (1 - 1 / SCALE) ** n.
+SCALE = 2
 
 
 def shingle_hashes(text: Column) -> Column:

@@ -252,6 +252,16 @@ def test_op7(spark, folder):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_short_texts_are_found_inside_longer_ones(spark):
+    from pyspark.sql import functions as F
+
+    word = lambda d, i: f"w{d}x{i}"
+    rows = [(" ".join(word(d, i) for i in range(300, 316)), " ".join(word(d, i) for i in range(600))) for d in range(60)]
+    pairs = spark.createDataFrame(rows, "short string, long string")
+    got = pairs.select(fingerprint.likeness(fingerprint.sketch(F.col("short")), fingerprint.sketch(F.col("long"))).alias("x")).collect()
+    assert [r["x"] for r in got] == [1.0] * 60
+
+
 def test_op8(spark, folder):
     rows = QUERIES["op8_langid"](spark, folder).collect()
     langs = {(r[0], r[1]): r[2] for r in make_documents()[0]}
