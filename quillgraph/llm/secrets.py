@@ -13,6 +13,10 @@ reported only when the bytes have the structure of a secret:
 * ``token`` a signed token: header and payload are JSON objects and the header
             names its algorithm.
 
+A run of base64 or hex characters goes on over line breaks (also written as a
+backslash and n) with blanks around them. Every line of it that begins like a
+secret is tried, and after a confirmed one the scan goes on where that ends.
+
 Defined results: a null or empty text has no spans; overlapping spans of
 different kinds are all reported; repeated rows and null ids each keep their
 own row; a text is scanned whole whatever its length. Positions count code
@@ -26,6 +30,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,8 +51,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1r|LS0tLS1C)[A-Za-z0-9+/_-]{30,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/_-]+)*={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -60,6 +65,28 @@ def _unbase64(body: str) -> bytes | None:
         return None
 
 
+class Coding(NamedTuple):
+    here: re.Pattern  # what begins like an encoded secret
+    run: re.Pattern
+    piece: re.Pattern
+    bits: int  # of a character
+    group: int  # so many characters are ``size`` bytes
+    size: int
+    padding: re.Pattern
+    bytes_of: Callable[[str], bytes | None]
+
+    @classmethod
+    def of(cls, chars: str, prefixes: str, *rest) -> Coding:
+        more = rf"(?:[\x20\t]*(?:\r?\n|\\n)[\x20\t]*{chars}+)*"
+        return cls(re.compile(f"(?:{prefixes}){chars}{{30}}"), re.compile(f"{chars}+{more}"), re.compile(f"{chars}+"), *rest)
+
+
+_CODINGS = (
+    Coding.of("[A-Za-z0-9+/_-]", "M[A-P]|b3BlbnNzaC1r|LS0tLS1C", 6, 4, 3, re.compile("={0,2}"), lambda s: _unbase64(s[: len(s) - (len(s) % 4 == 1)])),
+    Coding.of("[0-9A-Fa-f]", "30|6[Ff]70656[Ee]737368|(?:2[Dd]){5}42", 4, 2, 1, re.compile(""), lambda s: bytes.fromhex(s[: len(s) // 2 * 2])),
+)
+
+
 def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the content of the ASN.1 element at ``at``; None if its length does not fit."""
     if at + 2 > end:
@@ -85,9 +112,9 @@ def _members(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return found
 
 
-def key_length(data: bytes) -> int | None:
-    """Bytes of the private key that ``data`` begins with, or None."""
-    outer = _element(data, 0, len(data))
+def key_length(data: bytes, at: int = 0) -> int | None:
+    """Bytes of the private key that begins at ``at``, or None."""
+    outer = _element(data, at, len(data))
     if outer is None or outer[0] != 0x30:
         return None
     parts = _members(data, outer[1], outer[2])
@@ -104,14 +131,14 @@ def key_length(data: bytes) -> int | None:
         algorithm = _members(data, *parts[tags.index(0x30)][1:])
         if not algorithm or algorithm[0][0] != 0x06:
             return None
-    return outer[2] if rsa or dsa or pkcs8 or sec1 or sealed else None
+    return outer[2] - at if rsa or dsa or pkcs8 or sec1 or sealed else None
 
 
-def ssh_length(data: bytes) -> int | None:
-    """Bytes of the OpenSSH container that ``data`` begins with, or None."""
-    if not data.startswith(_SSH_MAGIC):
+def ssh_length(data: bytes, begin: int = 0) -> int | None:
+    """Bytes of the OpenSSH container that begins at ``begin``, or None."""
+    if not data.startswith(_SSH_MAGIC, begin):
         return None
-    at = len(_SSH_MAGIC)
+    at = begin + len(_SSH_MAGIC)
 
     def field() -> bytes | None:
         nonlocal at
@@ -128,7 +155,7 @@ def ssh_length(data: bytes) -> int | None:
     at += 4
     if not 1 <= n <= 16 or any(field() is None for _ in range(n)) or not field():
         return None
-    return at
+    return at - begin
 
 
 def _json_object(part: str) -> dict | None:
@@ -147,25 +174,78 @@ def _armoured(body: str) -> bool:
     return raw is not None and (key_length(raw) is not None or ssh_length(raw) is not None)
 
 
-def _decoded(m: re.Match) -> tuple[int, int, str] | None:
-    """The span and kind that a base64 candidate holds. The lengths in its bytes say where it ends."""
-    chars, ends = [], []
-    for k in re.finditer(r"[A-Za-z0-9+/_-]", m[0].replace("\\n", "  ")):
-        chars.append(k[0])
-        ends.append(k.end())
-    body = "".join(chars)
-    raw = _unbase64(body[: len(body) - (len(body) % 4 == 1)])
-    if raw is None:
-        return None
-    for kind, length in (("der", key_length(raw)), ("ssh", ssh_length(raw))):
-        if length is not None:
-            need = -(-length * 8 // 6)
-            end = m.start() + ends[need - 1]
-            end += len(re.match("={0,2}", m.string[end : end + 2])[0])
-            return m.start(), end, kind
-    if any(_armoured(x[2]) for x in _PEM.finditer(raw.decode("latin-1"))):
-        return m.start(), m.end(), "pem"
-    return None
+class _Run:
+    """A run of encoded characters from ``begin`` on, decoded once for each place in a group at which a candidate can begin."""
+
+    def __init__(self, text: str, begin: int, coding: Coding):
+        self.coding, self.end = coding, coding.run.match(text, begin).end()
+        self.begins, self.places, parts, n = [], [], [], 0
+        for p in coding.piece.finditer(text[begin : self.end].replace("\\n", "  ")):
+            self.begins.append(n)
+            self.places.append(begin + p.start())
+            parts.append(p[0])
+            n += len(p[0])
+        self.body = "".join(parts)
+        self.starts = [b for b, at in zip(self.begins, self.places, strict=True) if coding.here.match(text, at)]
+        self.made: dict[int, tuple] = {}
+
+    def place(self, k: int) -> int:
+        """Where the run's character ``k`` stands in the text."""
+        i = bisect_right(self.begins, k) - 1
+        return self.places[i] + k - self.begins[i]
+
+    def decoded(self, shift: int) -> tuple[bytes | None, list[tuple[int, int]]]:
+        """The bytes from character ``shift`` on, and the spans of confirmed armours in them."""
+        if shift not in self.made:
+            raw = self.coding.bytes_of(self.body[shift:])
+            found = _PEM.finditer(raw.decode("latin-1")) if raw and b"PRIVATE KEY-----" in raw else ()
+            self.made[shift] = raw, [x.span() for x in found if _armoured(x[2])]
+        return self.made[shift]
+
+    def secret(self, k: int) -> tuple[int, str] | None:
+        """Characters and kind of the secret that begins at character ``k``. The lengths in its bytes say where it ends."""
+        shift = k % self.coding.group
+        raw, armours = self.decoded(shift)
+        if raw is None:
+            return None
+        byte = lambda c: (c - shift) // self.coding.group * self.coding.size
+        at = byte(k)
+        chars = lambda n: -(-n * 8 // self.coding.bits)
+        for kind, length in (("der", key_length(raw, at)), ("ssh", ssh_length(raw, at))):
+            if length is not None:
+                return chars(length), kind
+        armours = [x for x in armours if x[0] >= at]
+        if not armours:
+            return None
+        end = armours[0][1]
+        for a, b in armours[1:]:  # those of one encoded file are one span; a later candidate has its own
+            if any(end <= byte(c) <= a for c in self.starts if c % self.coding.group == shift):
+                break
+            end = b
+        return chars(re.compile(rb"[\x20\t\r\n]*").match(raw, end).end() - at), "pem"
+
+
+def _encoded(text: str, coding: Coding) -> list[tuple[int, int, str]]:
+    """The spans and kinds of all encoded secrets."""
+    found, at = [], 0
+    while m := coding.here.search(text, at):
+        at = m.start()
+        if at and coding.piece.match(text, at - 1, at) and not text.endswith("\\n", 0, at):  # amid other characters
+            at += 1
+            continue
+        run = _Run(text, at, coding)
+        todo, done = list(reversed(run.starts)), 0
+        while todo:
+            k = todo.pop()
+            if k < done or (hit := run.secret(k)) is None:
+                continue
+            done = k + hit[0]
+            end = run.place(done - 1) + 1
+            found.append((run.place(k), coding.padding.match(text, end).end(), hit[1]))
+            if done < len(run.body) and coding.here.match(text, run.place(done)):
+                todo.append(done)
+        at = run.end
+    return found
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
@@ -181,13 +261,8 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
         found += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if _armoured(m[2])]
-    for m in _BASE64.finditer(text):
-        if hit := _decoded(m):
-            found.append(hit)
-    for m in _HEX_KEY.finditer(text):
-        n = key_length(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
-        if n is not None:
-            found.append((m.start(), m.start() + 2 * n, "der"))
+    for coding in _CODINGS:
+        found += _encoded(text, coding)
     if "ey" in text:
         for m in _SIGNED.finditer(text):
             header = _json_object(m[1])

@@ -131,6 +131,29 @@ def test_secrets_are_confirmed_by_structure():
     assert kinds("paſſword=abcdefgh") == set()
 
 
+def test_secrets_behind_other_candidates():
+    part = lambda tag, b: bytes([tag, len(b)]) + b
+    key = lambda n: part(0x30, part(2, b"\0") + b"".join(part(2, bytes([i + 1]) * 3) for i in range(7)) + part(2, bytes([9]) * n))
+    spans = lambda t: [(t[a:b], k) for a, b, k in secrets.find_secrets(t) if k in ("der", "ssh", "pem")]
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"pub") + field(b"private")
+    for n in range(3, 9):  # all lengths of the last group
+        one, two = (base64.urlsafe_b64encode(key(x)).decode().rstrip("=") for x in (n, n + 1))
+        for between in ("\n", "\r\n", "\\n", "\n  \t"):
+            assert spans(f"x {one}{between}{two}{between}{one} y") == [(one, "der"), (two, "der"), (one, "der")]
+        assert spans(one + two) == [(one, "der"), (two, "der")]
+        junk = "MA" + "z" * (30 + n)
+        assert spans(f"{junk}\n{one}\n{junk}\n    {two}") == [(one, "der"), (two, "der")]
+        wrapped = "\n    ".join((one[:40], one[40:50], one[50:]))
+        assert spans(f"key: |\n    {wrapped}\n    {two}\n") == [(wrapped, "der"), (two, "der")]
+        armour = f"-----BEGIN RSA PRIVATE KEY-----\n{one}\n-----END RSA PRIVATE KEY-----" + "\n" * (n % 3)
+        outer = base64.b64encode(armour.encode()).decode().rstrip("=")
+        assert spans(f"{outer}\n{outer}\nword") == [(outer, "pem")] * 2
+        h = key(n).hex()
+        assert spans(f"{h}{h}\n{h}") == [(h, "der")] * 3 and spans(f"{ssh.hex()} {armour.encode().hex()}") == [(ssh.hex(), "ssh"), (armour.encode().hex(), "pem")]
+        assert secrets.redacted(f"{junk}\n{one}\n{two}.") == f"{junk}\n[secret]\n[secret]."
+
+
 def library():
     tokenizers = pytest.importorskip("tokenizers")
     return tokenizers.Tokenizer.from_str(bpe.public_tokenizer().decode())
