@@ -47,6 +47,16 @@ WINDOW, ANCHOR = 13, 5
 HELD = 2_000_000
 
 
+def _leftmost_least(values: np.ndarray, wide: int) -> np.ndarray:
+    """Where the least of each ``wide`` neighbours stands, the leftmost of equal ones."""
+    least, at, step = values, np.arange(len(values)), 1
+    while step < wide:
+        by = min(step, wide - step)
+        right = least[by:] < least[:-by]
+        least, at, step = np.where(right, least[by:], least[:-by]), np.where(right, at[by:], at[:-by]), step + by
+    return at
+
+
 class Parsed:
     """The windows and phrases of some texts, all in word numbers of ``hashes``."""
 
@@ -66,15 +76,7 @@ class Parsed:
             self.of = starts
             return
         grams = wordhash.runs(hashes, ANCHOR, salt=5)
-        # the place breaks ties of the upper bits
-        keyed = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-        wide, least = WINDOW - ANCHOR + 1, keyed
-        step = 1
-        while step * 2 <= wide:
-            least, step = np.minimum(least[: len(least) - step], least[step:]), step * 2
-        if step < wide:
-            least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
-        at = (least[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        at = _leftmost_least(grams, WINDOW - ANCHOR + 1)[starts]
         new = np.ones(len(starts), bool)
         new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
         self.of = np.cumsum(new) - 1  # window -> phrase

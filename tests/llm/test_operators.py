@@ -247,6 +247,16 @@ def test_repeats_with_shifted_and_overlapping_copies(spark):
     assert spans == {d: g for d, _, g, _ in got}
 
 
+def test_a_passage_has_the_same_phrases_beyond_2_to_the_24_words():
+    passage = b" ".join(b"p%d" % i for i in range(200))
+    alone = substrings.Parsed([passage])
+    long = substrings.Parsed([b"a " * (1 << 24) + passage])
+    substrings.wordhash._powers.clear()
+    n = len(alone.starts)
+    assert long.starts[-1] >= 1 << 24 and (long.anchor[long.of[-n:]] == alone.anchor[alone.of]).all()
+    assert (long.phrase[long.of[-n:]] == alone.phrase[alone.of])[20:].all()
+
+
 def test_op7(spark, folder):
     def h64(ws):
         s = 42
