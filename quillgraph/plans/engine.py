@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import search
 from quillgraph.plans.question import Lexicon, Parse, Parser, Plan
 
-#: Rows of an answer that are brought to the driver at most; ``answers_frame`` has no limit.
+#: Rows of an answer that are brought to the driver at most (a message says when there are more); ``answers_frame`` has no limit.
 SHOWN = 1000
 
 
@@ -57,16 +57,17 @@ class Engine:
         return self._run(plan) if plan else self._look_up(parse)
 
     def _look_up(self, parse: Parse) -> Result:
-        rows = self.answers_frame(parse.raw).orderBy("document_id", "sentence_id", "triple_id").limit(SHOWN).collect()
+        rows, n = _first(self.answers_frame(parse.raw), "document_id", "sentence_id", "triple_id")
         if not rows:
             return Result(parse=parse, message=f"No {', '.join(parse.relations)} relation found for {parse.entity.label}.")
-        return Result([r["answer"] for r in rows], parse=parse, evidence=[r.asDict() for r in rows])
+        return Result([r["answer"] for r in rows], _left_out(len(rows), n, "answers"), parse, evidence=[r.asDict() for r in rows])
 
     def _run(self, plan: Plan) -> Result:
-        rows = search.plan_union(self.edges, plan, self.labels).orderBy("plan_no", "place").limit(SHOWN).collect()
+        found = search.plan_union(self.edges, plan, self.labels).groupBy("answer").agg(F.min(F.struct("plan_no", "place")).alias("m"))
+        rows, n = _first(found.select("answer", "m.*"), "plan_no", "place")
         note = f"{plan.note}: {len(plan.alternatives)} candidate plan(s) also executed." if plan.alternatives else ""
         if rows:
-            return Result(list(dict.fromkeys(r["answer"] for r in rows)), note, plan=plan, trace=["Plan: " + " ; ".join(p.show() for p in plan.patterns)])
+            return Result([r["answer"] for r in rows], " ".join(x for x in (note, _left_out(len(rows), n, "answers")) if x), plan=plan, trace=["Plan: " + " ; ".join(p.show() for p in plan.patterns)])
         # only now count step by step, for the one that got furthest
         best = max((self._failure(p) for p in (plan, *plan.alternatives)), key=lambda x: x[0])
         return Result(message=" ".join(x for x in (note, best[1]) if x), plan=plan, trace=[best[1]])
@@ -79,7 +80,7 @@ class Engine:
         return len(plan.patterns) + 1, "No answer variable could be bound."
 
     def _connect(self, parse: Parse) -> Result:
-        rows = search.paths(self.edges, parse.entity.entity_id, parse.other.entity_id, self.max_depth).orderBy("length", "place").limit(SHOWN).collect()
+        rows, n = _first(search.paths(self.edges, parse.entity.entity_id, parse.other.entity_id, self.max_depth), "length", "place")
         if not rows:
             return Result(parse=parse, message=f"No path of length {self.max_depth} or less connects {parse.entity.label} to {parse.other.label}.")
         from quillgraph.functions.vocab import INVERSE_PHRASES
@@ -90,7 +91,18 @@ class Engine:
             return {"from": self._names.get(h["from_id"], h["from_id"]), "relation": phrase, "to": self._names.get(h["to_id"], h["to_id"]), "document_id": h["document_id"], "direction": h["direction"]}
 
         found = [[shown(h) for h in r["hops"]] for r in rows]
-        return Result([parse.other.label], f"Found {len(found)} path(s) of length {self.max_depth} or less.", parse, paths=found)
+        said = f"Found {n} path(s) of length {self.max_depth} or less."
+        return Result([parse.other.label], " ".join(x for x in (said, _left_out(len(rows), n, "paths")) if x), parse, paths=found)
+
+
+def _first(rows: DataFrame, *order: str) -> tuple[list, int]:
+    """The first SHOWN rows, and how many there are."""
+    found = rows.orderBy(*order).limit(SHOWN + 1).collect()
+    return found[:SHOWN], len(found) if len(found) <= SHOWN else rows.count()
+
+
+def _left_out(shown: int, n: int, what: str) -> str:
+    return f"The first {shown} of {n} {what} are shown." if n > shown else ""
 
 
 def _not_understood(parse: Parse) -> str:

@@ -76,6 +76,24 @@ def test_paths_go_both_ways(engine):
     assert engine.ask("How is Elon Musk connected to Arun Mehta?").message.startswith("No path")
 
 
+def test_repeated_answers_go_before_the_limit(spark, engine, monkeypatch):
+    facts = [("o:nasa", "NASA", "uses", "p:x", "Starship", "d0"), ("o:s", "SpaceX", "develops", "p:x", "Starship", "d1")]
+    facts += [(f"n:{i}", "Zoe" if i == 3 else "Sam", "founded", "o:s", "SpaceX", f"d{i + 2}") for i in range(4)]
+    types = {"o": "ORGANIZATION", "p": "PRODUCT", "n": "PERSON"}
+    rows = [(a, s, types[a[0]], r, b, o, types[b[0]], d, 0, f"{s} {r} {o}.") for a, s, r, b, o, d in facts]
+    t = spark.createDataFrame(rows, "subject_id string, subject string, subject_type string, relation string, object_id string, object string, object_type string, document_id string, sentence_index int, sentence string")
+    t = t.withColumn("triple_id", triple_id(F.col("subject_id"), F.col("relation"), F.col("object_id"), F.col("document_id")))
+    names = [("o:nasa", "NASA", []), ("o:s", "SpaceX", []), ("p:x", "Starship", [])]
+    monkeypatch.setattr("quillgraph.plans.engine.SHOWN", 2)
+    asked = Engine(t, Lexicon.of(names)).ask("Who founded the company that developed the product that NASA uses?")
+    assert asked.answers == ["Sam", "Zoe"] and "shown" not in asked.message
+    monkeypatch.setattr("quillgraph.plans.engine.SHOWN", 1)
+    asked = engine.ask("Who partnered with Aether Analytics?")
+    assert asked.answers == ["Quantum Forge"] and asked.message == "The first 1 of 2 answers are shown."
+    found = engine.ask("How is Aether Analytics connected to OrionEdge?")
+    assert len(found.paths) == 1 and not found.message.startswith("Found 1 ") and "The first 1 of" in found.message
+
+
 def test_phrases_match_inside_words_and_the_earliest_wins():
     assert relation_at("because nasa leads")[2] == ("uses",)
     assert relation_at("who works with x")[2] == ("collaborates_with", "partners_with")
