@@ -1,9 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by phrases and windows relative to earlier documents.
 
 A window is ``WINDOW`` consecutive words. Every document is parsed into phrases
-relative to all documents with smaller ids; runs of phrases that are found
-there are the factors, and the words of factors of a window or more are the
-duplicate spans.
+relative to all documents with smaller ids; the words of phrases and of single
+windows that are found there are the duplicate spans. This stands in for a
+relative Lempel-Ziv parse: no factor is extended against a reference text and
+none has its length tested. A repeat is a union of repeated windows, so looking
+up every window, most of them by the phrase, finds the same words.
 
 * Phrases. In each window the run of ``ANCHOR`` words with the least hash is
   its anchor (the leftmost of several). Consecutive windows with one anchor are
@@ -11,9 +13,8 @@ duplicate spans.
   can only be found under its own anchor.
 * Reference blocks. The index is dealt by anchor: a block holds, for its share
   of the anchors, every phrase of every document with the smallest id that has
-  it. A phrase with a smaller id than the document's own is a match, and
-  neighbouring matches grow into one factor, greedily as far as they go.
-* Factor boundaries. Where a factor ends, a phrase differs from all earlier
+  it. A phrase with a smaller id than the document's own is a match.
+* Boundaries. Where a repeat ends, a phrase differs from all earlier
   ones, yet single windows of it may still be repeats. If its anchor is known
   with other phrases, its windows and theirs (one copy of each phrase) are
   looked up one by one in the same way.
