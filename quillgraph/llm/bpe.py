@@ -23,12 +23,9 @@ import hashlib
 import json
 import mmap
 import os
-import re
-import tempfile
 import unicodedata
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,17 +39,32 @@ from quillgraph.llm.common import release, resident, table, written
 
 #: Words in the transducer at most, and their length in bytes.
 LEXICON, LONGEST = 250_000, 64
-#: Entries of a worker's cache of words; a cache is emptied when full, and that of runs holds twice as many.
-CACHED = 100_000
-#: Code points whose new words are looked up together.
+#: Words that a worker's cache keeps, and that a task counts before it adds up the like.
+CACHED, COUNTED = 200_000, 800_000
+#: Code points whose words are looked up together.
 TOGETHER = 1_000_000
 
 # White space as the tokenizer's patterns have it, which leaves out U+001C to U+001F.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SEPARATORS = regex.compile(SPACE + "+")
 _WIDE_SPACES = [chr(c) for c in range(0x80, 0x3001) if _SEPARATORS.match(chr(c))]
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"  # which str.split takes for white space
-_ASCII_SPACE = re.compile(r"[\t-\r ]+")
+#: The pattern that ``split`` stands for, and its endings after an apostrophe by length, as code points.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ENDINGS = {1: [ord(c) for c in "stmd"], 2: [tuple(map(ord, e)) for e in ("re", "ve", "ll")]}
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Per code point: white space, letter, number or anything else."""
+    if not _kinds:
+        codes = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+        every, out = codes.tobytes().decode("utf-32-le"), np.full(0x110000, _OTHER, np.uint8)
+        for value, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, SPACE + "+")):
+            for m in regex.finditer(pattern, every):
+                out[codes[m.start() : m.end()]] = value
+        _kinds.append(out)
+    return _kinds[0]
 
 
 def byte_letters() -> dict[int, str]:
@@ -77,8 +89,8 @@ class WordBpe:
         self._one = [self.vocab.get(self.letters[b]) for b in range(256)]
         self._last = [self.vocab.get(self.letters[b] + self.end) for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split.replace(r"[^\s", "[^" + SPACE[1:-1]))
+        if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            raise ValueError("the tokenizer splits words by another pattern")
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
@@ -101,10 +113,38 @@ class WordBpe:
                 text = _SEPARATORS.sub(" ", text)
         return text.lower()
 
-    @classmethod
-    def runs(cls, text: str) -> list[str]:
-        text = cls.normalised(text)
-        return [r for r in _ASCII_SPACE.split(text) if r] if any(x in text for x in _NOT_SPACE) else text.split()
+    @staticmethod
+    def split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of normalised texts, one after another, and how many each text has.
+
+        Words are runs of letters, single numbers and runs of anything else; an
+        apostrophe that begins a word takes the ending of a contraction with it.
+        """
+        joined = " ".join(texts) + " "
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        plain = len(raw) == len(joined)
+        codes = raw if plain else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = kinds()[codes]
+        first = kind != _SPACE
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+        if "'" in joined:
+            at = np.flatnonzero((codes == 39) & first)
+            one, two = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+            short, long = np.isin(one, _ENDINGS[1]), np.zeros(len(at), bool)
+            for a, b in _ENDINGS[2]:
+                long |= (one == a) & (two == b)
+            first[at[short | long] + 1] = False
+            for size, those in ((2, at[short]), (3, at[long & ~short])):
+                first[those + size] = kind[those + size] != _SPACE
+        starts = np.flatnonzero(first)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+        keep = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        kept = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+        begins = starts if plain else np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+        offsets = np.append(kept[begins], kept[-1]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[keep])])
+        return words.cast(pa.string()) if kept[-1] < 1 << 31 else words, counts
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode()
@@ -197,11 +237,9 @@ class Transducer:
 
     @classmethod
     def mapped(cls, raw: bytes) -> Transducer:
-        """Over a memory map; the file's name is removed at once, its pages stay until the worker ends."""
-        with tempfile.TemporaryFile() as f:
-            f.write(raw)
-            f.flush()
-            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        """Over a memory map of its own, without a file in a machine-local folder."""
+        m = mmap.mmap(-1, len(raw))
+        m.write(raw)
         sizes, at, out = np.frombuffer(m, np.int64, len(cls._PARTS)), 8 * len(cls._PARTS), {}
         for k, t, n in zip(cls._PARTS, cls._TYPES, sizes, strict=True):
             out[k] = np.frombuffer(m, t, n, at)
@@ -245,65 +283,78 @@ def _stretches(texts: Iterable[str | None]) -> Iterator[list[str]]:
         yield held
 
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` from ``starts`` on, one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Encoder:
-    """Encodes texts over a cache of words; ``unseen`` gives the ids of words that it lacks.
+    """Encodes texts over a cache of words; ``unseen`` gives the ids (one after another, and how many of each) of words that it lacks.
 
-    Normalised texts are cut at white space and dictionary-encoded a stretch at a
-    time, so Python handles distinct runs only; the ids are then gathered by numpy.
+    A stretch of texts is split into words and dictionary-encoded at once, so
+    Python handles distinct words only; the ids are gathered by numpy. Of a
+    full cache the words asked for in most stretches stay, a half at most.
     """
 
-    def __init__(self, bpe: WordBpe, unseen: Callable[[list[str]], Iterable[bytes]], cached: int = CACHED):
+    def __init__(self, bpe: WordBpe, unseen: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cached: int = CACHED):
         self.bpe, self.unseen, self.cached = bpe, unseen, cached
-        self._words: dict[str, bytes] = {}
-        self._runs: dict[str, bytes] = {"": b""}
-
-    def _learn(self, runs: list[str]) -> None:
-        if len(self._words) > self.cached:
-            self._words.clear()
-        single = [r for r in runs if r.isalpha()]  # letters alone are one word
-        split = [(r, self.bpe.words.findall(r)) for r in runs if not r.isalpha()]
-        new = [w for w in {*single, *(w for _, ws in split for w in ws)} if w not in self._words]
-        known = self._words
-        known.update(zip(new, self.unseen(new), strict=True))
-        for r in single:
-            self._runs[r] = known[r]
-        for r, ws in split:
-            self._runs[r] = b"".join(map(known.__getitem__, ws))
-
-    def _known(self, runs: list[str]) -> list[bytes]:
-        if len(self._runs) > 2 * self.cached:
-            self._runs = {"": b""}
-        found = list(map(self._runs.get, runs))
-        if missing := [r for r, ids in zip(runs, found, strict=True) if ids is None]:
-            self._learn(missing)
-            found = list(map(self._runs.__getitem__, runs))
-        return found
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        self._rows: dict[str, int] = {}
+        self._starts, self._sizes, self._asked = (np.zeros(0, np.int64) for _ in range(3))
+        self._ids = np.zeros(0, np.uint32)
+
+    def _shrink(self) -> None:
+        order = np.argsort(-self._asked, kind="stable")[: self.cached // 2]
+        order = np.sort(order[self._asked[order] > 1])
+        place = np.full(len(self._asked), -1, np.int64)
+        place[order] = np.arange(len(order))
+        self._rows = {w: j for w, i in self._rows.items() if (j := int(place[i])) >= 0}
+        self._ids = _gathered(self._ids, self._starts[order], self._sizes[order])
+        self._sizes, self._asked = self._sizes[order], np.ones(len(order), np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The cache's row of each of some distinct words."""
+        if len(self._rows) > self.cached:
+            self._shrink()
+        found = list(map(self._rows.get, words))
+        new = [w for w, row in zip(words, found, strict=True) if row is None]
+        if new:
+            ids, sizes = self.unseen(new)
+            n = len(self._sizes)
+            self._rows.update(zip(new, range(n, n + len(new)), strict=True))
+            self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
+            self._sizes = np.concatenate([self._sizes, sizes])
+            self._ids = np.concatenate([self._ids, ids])
+            self._asked = np.concatenate([self._asked, np.zeros(len(new), np.int64)])
+            found = list(map(self._rows.__getitem__, words))
+        rows = np.array(found, np.int64)
+        self._asked[rows] += 1
+        return rows
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         for some in _stretches(texts):
             yield from self._encode(some)
 
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        # a text with special tokens takes its pieces one by one
-        apart = {i: list(self.bpe.pieces(t)) for i, t in enumerate(texts) if any(x in t for x in self.bpe.special)}
-        plain = pa.array(["" if i in apart else self.bpe.normalised(t) for i, t in enumerate(texts)], pa.large_string())
-        listed = pc.ascii_split_whitespace(plain)
-        coded = listed.flatten().dictionary_encode()
-        known = self._known(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids = np.frombuffer(b"".join(known), "<u4")
-        at = coded.indices.to_numpy()
-        n = sizes[at]
-        ends = np.cumsum(n)
-        # the i-th run's ids, one run after another
-        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[listed.offsets.to_numpy() - listed.offsets[0].as_py()]
-        for i in range(len(texts)):
-            if i in apart:
-                yield b"".join(self.bpe.special[p].to_bytes(4, "little") if special else b"".join(self._known(self.bpe.runs(p))) for special, p in apart[i])
-            else:
-                yield ids[edges[i] : edges[i + 1]].tobytes()
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        pieces = [list(self.bpe.pieces(t)) for t in texts]
+        words, counts = self.bpe.split([self.bpe.normalised(p) for ps in pieces for special, p in ps if not special])
+        coded = words.dictionary_encode()
+        at = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = self._sizes[at]
+        ids = _gathered(self._ids, self._starts[at], n)
+        edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        k = 0
+        for ps in pieces:
+            parts = []
+            for special, p in ps:
+                if special:
+                    parts.append(np.array([self.bpe.special[p]], np.uint32))
+                else:
+                    parts.append(ids[edges[k] : edges[k + 1]])
+                    k += 1
+            yield parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)])
 
 
 class Codec(Encoder):
@@ -312,14 +363,25 @@ class Codec(Encoder):
     def __init__(self, tokenizer: bytes, lexicon: bytes):
         super().__init__(WordBpe(tokenizer), self._from_lexicon)
         self.lexicon = Transducer.mapped(lexicon)
-        self._ids = self.lexicon.ids.astype("<u4").tobytes()
-        self._ends = self.lexicon.offsets.astype(np.int64) * 4
 
-    def _from_lexicon(self, words: list[str]) -> Iterator[bytes]:
+    def _from_lexicon(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         numbers = self.lexicon.numbers([w.encode() for w in words])
-        ends = self._ends
-        for word, n, a, b in zip(words, numbers.tolist(), ends[numbers].tolist(), ends[numbers + 1].tolist(), strict=True):
-            yield self._ids[a:b] if n >= 0 else array("I", self.bpe.merge(word)).tobytes()
+        merged = [self.bpe.merge(words[i]) for i in np.flatnonzero(numbers < 0).tolist()]
+        own = np.fromiter(chain.from_iterable(merged), np.uint32)
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        hit, ends = numbers >= 0, self.lexicon.offsets
+        sizes[hit], starts[hit] = ends[numbers[hit] + 1] - ends[numbers[hit]], ends[numbers[hit]]
+        sizes[~hit] = np.fromiter(map(len, merged), np.int64, len(merged))
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        of_word = np.repeat(hit, sizes)
+        out[of_word] = _gathered(self.lexicon.ids, starts[hit], sizes[hit])
+        out[~of_word] = own
+        return out, sizes
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return ids.astype("<u4", copy=False).tobytes()
 
 
 def codec(tokenizer: bytes, lexicon: bytes) -> Codec:
@@ -330,29 +392,29 @@ def codec(tokenizer: bytes, lexicon: bytes) -> Codec:
 def word_counts(docs: DataFrame, text: str, tokenizer: bytes) -> DataFrame:
     """(word, n) over all documents; counted in the tasks first."""
     raw = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    names = ["word", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        bpe, seen = WordBpe(raw.value), Counter()
-
-        def flushed() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for run, n in seen.items():
-                for w in bpe.words.findall(run):
-                    if len(w) <= LONGEST:
-                        words[w] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
-
+        bpe, held, rows = WordBpe(raw.value), [], 0
         for batch in batches:
             for texts in _stretches(batch.column(0).to_pylist()):
-                plain = pa.array([bpe.normalised(p) for t in texts for special, p in bpe.pieces(t) if not special], pa.large_string())
-                counts = pc.value_counts(pc.ascii_split_whitespace(plain).flatten())
-                for run, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
-                    seen[run] += n
-                if len(seen) > 2 * CACHED:
-                    yield flushed()
-        yield flushed()
+                words, _ = bpe.split([bpe.normalised(p) for t in texts for special, p in bpe.pieces(t) if not special])
+                counts = pc.value_counts(words)
+                held.append(pa.table([counts.field("values"), counts.field("counts")], names))
+                rows += len(counts)
+                if rows > COUNTED:
+                    held = [_added(held)]
+                    rows = len(held[0])
+                    if rows > COUNTED // 2:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from _added(held).to_batches()
+
+    def _added(tables: list[pa.Table]) -> pa.Table:
+        total = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(names)
+        return total.filter(pc.less_equal(pc.binary_length(total["word"]), LONGEST)).combine_chunks()
 
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -379,7 +441,7 @@ def encode(docs: DataFrame, tokenizer: bytes, lexicon: bytes, text: str = "text"
     def run(texts: pd.Series) -> pd.DataFrame:
         c = codec(raw.value, lex.value)
         ids = list(c.encode(texts))
-        return pd.DataFrame({"n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [c.bpe.decode(np.frombuffer(i, "<u4")).decode() for i in ids]})
+        return pd.DataFrame({"n_tokens": list(map(len, ids)), "ids": [packed(i) for i in ids], "decoded": [c.bpe.decode(i).decode() for i in ids]})
 
     made = docs.withColumn("__bpe", F.pandas_udf(run, "n_tokens long, ids binary, decoded string")(F.col(text)))
     return made.withColumns({c: F.col("__bpe")[c] for c in ("n_tokens", "ids", "decoded")}).drop("__bpe")
@@ -393,8 +455,7 @@ def digests(docs: DataFrame, tokenizer: bytes, lexicon: bytes) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         c, rows = codec(raw.value, lex.value), []
         for ids in c.encode(texts):
-            back = c.bpe.decode(np.frombuffer(ids, "<u4"))
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+            rows.append((len(ids), hashlib.sha256(packed(ids)).hexdigest(), hashlib.sha256(c.bpe.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = docs.select("doc_id", F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")("text").alias("d"))
@@ -409,8 +470,8 @@ def tokenized(docs: DataFrame, tokenizer: bytes, lexicon: bytes, text: str = "te
     def run(texts: pd.Series) -> pd.DataFrame:
         c, rows = codec(raw.value, lex.value), []
         for ids in c.encode(texts):
-            back = c.bpe.decode(np.frombuffer(ids, "<u4"))
-            rows.append((len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+            raw_ids = packed(ids)
+            rows.append((len(ids), raw_ids, hashlib.sha256(raw_ids).hexdigest(), hashlib.sha256(c.bpe.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     made = docs.withColumn("__bpe", F.pandas_udf(run, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")(F.col(text)))

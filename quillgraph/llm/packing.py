@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,6 @@ from quillgraph.llm.common import partitions, resident, table, written
 
 #: Ids after which a block closes.
 BLOCK = 1 << 18
-#: Words that a worker's cache keeps.
-CACHED = 500_000
 
 FILE_SCHEMA = "part int, block int, before long, bits int, n_ids long, doc_ids binary, ends binary, payload binary"
 
@@ -78,18 +77,18 @@ class LibraryEncoder(Encoder):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(WordBpe(tokenizer), self._from_library, CACHED)
+        super().__init__(WordBpe(tokenizer), self._from_library)
         self.lib = Tokenizer.from_str(tokenizer.decode())
         self.lib.no_truncation()
         self.lib.no_padding()
         self.size = self.lib.get_vocab_size()
 
-    def _from_library(self, words: list[str]) -> Iterator[bytes]:
+    def _from_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # the model alone: a word is normalised already, and must not be again
         split, letters = self.lib.model.tokenize, self.bpe.letters
-        for w in words:
-            own = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])
-            yield array("I", [t.id for t in split(own)]).tobytes()
+        found = [split(w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])) for w in words]
+        ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.uint32)
+        return ids, np.fromiter(map(len, found), np.int64, len(found))
 
 
 def encoder(tokenizer: bytes) -> LibraryEncoder:
@@ -160,8 +159,7 @@ def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, key: str = "doc_id
     between = bits if bits in (8, 16) else 32  # between tasks an id takes whole bytes
 
     def encoded(texts: pd.Series) -> pd.Series:
-        end = np.array([end_id], "<u4").tobytes()
-        return pd.Series([pack(np.frombuffer(i + end, "<u4"), between) for i in encoder(raw.value).encode(texts)], dtype=object)
+        return pd.Series([pack(np.append(i, np.uint32(end_id)), between) for i in encoder(raw.value).encode(texts)], dtype=object)
 
     bounds = id_ranges(docs, key, parts)
     rows = docs.select(
