@@ -7,8 +7,10 @@ reported only when the bytes have the structure of a secret:
 * ``pem``   an armoured private key whose body decodes to a key, or that is
             declared as encrypted; also such an armour inside a base64 run,
 * ``der``   a private key in ASN.1: every nested length must add up, and the
-            members must be those of PKCS#1, PKCS#8, SEC1, DSA or an encrypted
-            PKCS#8 container (a public key is not reported),
+            members must be those of PKCS#1, SEC1, DSA, PKCS#8 (whose octet
+            string must hold a key of the algorithm that it names) or an
+            encrypted PKCS#8 container (which must name a password-based
+            cipher; so no digest, signature or public key is reported),
 * ``ssh``   an OpenSSH private key container, with its length-prefixed fields,
 * ``token`` a signed token: header and payload are JSON objects and the header
             names its algorithm.
@@ -112,6 +114,55 @@ def _members(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return found
 
 
+#: Object identifiers as ASN.1 has them.
+_RSA, _RSA_PSS = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a")
+_EC = bytes.fromhex("2a8648ce3d0201")
+_INTEGER_KEYS = tuple(map(bytes.fromhex, ("2a8648ce380401", "2a864886f70d010301", "2a8648ce3e0201")))  # DSA, DH, X9.42 DH
+_RAW_KEYS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}  # X25519, X448, Ed25519, Ed448
+_SEALED = tuple(map(bytes.fromhex, ("2a864886f70d0105", "2a864886f70d010c01")))  # password-based encryption of PKCS#5 and PKCS#12 begins with these
+
+
+def _number(data: bytes, part: tuple[int, int, int]) -> int | None:
+    """A version number."""
+    return data[part[1]] if part[2] - part[1] == 1 else None
+
+
+def _one(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """The element that fills ``at`` to ``end``."""
+    found = _element(data, at, end)
+    return found if found and found[2] == end else None
+
+
+def _is_rsa(data: bytes, parts: list) -> bool:
+    tags = [p[0] for p in parts]
+    return tags[:9] == [0x02] * 9 and (len(tags), _number(data, parts[0])) in ((9, 0), (9, 1)) or tags == [0x02] * 9 + [0x30] and _number(data, parts[0]) == 1
+
+
+def _is_sec1(data: bytes, parts: list, bare: bool) -> bool:
+    """``bare``: a key that stands alone names its curve or public key; inside PKCS#8 it need not."""
+    tags = [p[0] for p in parts]
+    if tags[:2] != [0x02, 0x04] or _number(data, parts[0]) != 1 or tags[2:] not in ([], [0xA0], [0xA1], [0xA0, 0xA1]) or bare and not tags[2:]:
+        return False
+    inner = {tag: _one(data, a, b) for tag, a, b in parts[2:]}
+    return all(x and x[0] in ((0x06, 0x30) if tag == 0xA0 else (0x03,)) for tag, x in inner.items())
+
+
+def _is_inner(data: bytes, identifier: bytes, at: int, end: int) -> bool:
+    """Is the content of a PKCS#8 octet string a key of the algorithm?"""
+    found = _one(data, at, end)
+    if found is None:
+        return False
+    tag, a, b = found
+    if identifier in _INTEGER_KEYS:
+        return tag == 0x02
+    if identifier in _RAW_KEYS:
+        return tag == 0x04 and b - a == _RAW_KEYS[identifier]
+    if identifier in (_RSA, _RSA_PSS, _EC):
+        parts = _members(data, a, b) if tag == 0x30 else None
+        return bool(parts) and (_is_sec1(data, parts, bare=False) if identifier == _EC else _is_rsa(data, parts))
+    return tag in (0x02, 0x04) or tag == 0x30 and bool(_members(data, a, b))  # an algorithm unknown here: one whole element
+
+
 def key_length(data: bytes, at: int = 0) -> int | None:
     """Bytes of the private key that begins at ``at``, or None."""
     outer = _element(data, at, len(data))
@@ -121,17 +172,14 @@ def key_length(data: bytes, at: int = 0) -> int | None:
     if not parts:
         return None
     tags = [p[0] for p in parts]
-    number = lambda p: int.from_bytes(data[p[1] : p[2]], "big") if p[2] - p[1] == 1 else None
-    rsa = len(tags) >= 9 and set(tags[:9]) == {0x02} and number(parts[0]) in (0, 1)
-    dsa = tags == [0x02] * 6 and number(parts[0]) == 0
-    pkcs8 = tags[:3] == [0x02, 0x30, 0x04] and number(parts[0]) in (0, 1)
-    sec1 = tags[:2] == [0x02, 0x04] and number(parts[0]) == 1 and set(tags[2:]) <= {0xA0, 0xA1} and len(tags) > 2
-    sealed = tags == [0x30, 0x04]
-    if pkcs8 or sealed:
-        algorithm = _members(data, *parts[tags.index(0x30)][1:])
-        if not algorithm or algorithm[0][0] != 0x06:
-            return None
-    return outer[2] - at if rsa or dsa or pkcs8 or sec1 or sealed else None
+    found = _is_rsa(data, parts) or tags == [0x02] * 6 and _number(data, parts[0]) == 0 or _is_sec1(data, parts, bare=True)
+    if not found and tags[:3] == [0x02, 0x30, 0x04] and _number(data, parts[0]) in (0, 1) and set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
+        algorithm = _members(data, *parts[1][1:])
+        found = bool(algorithm) and algorithm[0][0] == 0x06 and _is_inner(data, data[algorithm[0][1] : algorithm[0][2]], *parts[2][1:])
+    if not found and tags == [0x30, 0x04] and parts[1][2] > parts[1][1]:
+        algorithm = _members(data, *parts[0][1:])
+        found = bool(algorithm) and [a[0] for a in algorithm] == [0x06, 0x30] and data.startswith(_SEALED, algorithm[0][1], algorithm[0][2]) and _members(data, *algorithm[1][1:]) is not None
+    return outer[2] - at if found else None
 
 
 def ssh_length(data: bytes, begin: int = 0) -> int | None:
