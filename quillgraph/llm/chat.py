@@ -1,14 +1,17 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame operations only.
 
-A log holds one event a row: conversation, sequence number, kind, role, text.
-Events of a conversation are sorted by sequence number (ties: by role, then by
-text) and folded into final messages:
+A log holds one event a row: conversation, sequence number, kind, message id,
+role, text. Events of a conversation are sorted by sequence number (ties: by
+role, text, kind, then message id) and folded into final messages:
 
 * ``message``     opens a message (a null or unknown kind does so too),
-* ``delta``       appends its text to the open message,
+* ``delta``       appends its text to the message,
 * ``edit``        replaces what the message has so far,
 * ``regenerate``  empties the message; later deltas build it anew.
 
+An event with a message id belongs to the first message that was opened under
+that id, however many others were opened since; one without an id, or with an
+id that opened nothing, belongs to the message opened last.
 Events before any ``message`` open one with their own role. Then each message
 is rendered as ``<s>[INST] role [/INST]text</s>``. Inside roles and texts ``&``,
 ``<`` and ``[`` are written as entities, so no control string can occur there,
@@ -45,29 +48,45 @@ def unescaped(text: Column) -> Column:
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """Messages (conv, ord, role, text) of a log (conv, seq, kind, role, text)."""
-    by = Window.partitionBy("conv").orderBy("seq", "role", "text")
+    """Messages (conv, ord, role, text) of a log (conv, seq, kind, message, role, text); a log may lack ``message``."""
     rows = log.select(
         "conv",
         "seq",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise("message").alias("kind"),
-    ).withColumn("at", F.row_number().over(by))
-    so_far = Window.partitionBy("conv").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns(
-        {
-            "ord": F.coalesce(F.max(F.when(F.col("kind") == "message", F.col("at"))).over(so_far), F.lit(0)),
-            "resets": F.sum(F.col("kind").isin("edit", "regenerate").cast("int")).over(so_far),
-        }
+        (F.col("message").cast("string") if "message" in log.columns else F.lit(None).cast("string")).alias("message"),
     )
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("conv").orderBy("seq", "role", "text", "kind", "message")))
+    opens = F.when(F.col("kind") == "message", F.col("at"))
+    last = F.coalesce(F.max(opens).over(Window.partitionBy("conv").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    named = F.when((F.col("kind") != "message") & F.col("message").isNotNull(), F.min(opens).over(Window.partitionBy("conv", "message")))
+    rows = rows.withColumns({"last": last, "named": named}).withColumn("ord", F.coalesce("named", "last"))
+    messages = rows.groupBy("conv", "ord").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "role", "text"))).alias("events"))
     # only what follows the last edit or regeneration of a message is in it
-    events = F.sort_array(F.collect_list(F.struct("at", "resets", "kind", "role", "text")))
-    messages = rows.groupBy("conv", "ord").agg(events.alias("events"), F.max("resets").alias("last"))
-    kept = F.filter("events", lambda e: (e["resets"] == F.col("last")) & (e["kind"] != "regenerate"))
+    reset = F.coalesce(F.array_max(F.transform(F.filter("events", lambda e: e["kind"].isin("edit", "regenerate")), lambda e: e["at"])), F.lit(0))
+    messages = messages.withColumn("reset", reset)
+    kept = F.filter("events", lambda e: (e["at"] >= F.col("reset")) & (e["kind"] != "regenerate"))
     return messages.select("conv", "ord", F.col("events")[0]["role"].alias("role"), F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"))
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """The log of finished turns (conv, turn, role, text) as a chat service would have written it.
+
+    An assistant's turn begins with a draft that is thrown away, then its text
+    comes in three deltas; any other turn is opened with a draft, which an edit
+    corrects only after the next turn has been opened.
+    """
+    at = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text"))
+    rows = turns.select("conv", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("message", at)
+    text, draft, third = F.col("text"), F.reverse("text"), F.ceil(F.char_length("text") / 3).cast("int")
+    event = lambda step, kind, said: F.struct((F.col("message") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), said.alias("said"))
+    part = lambda i: F.substring(text, third * i + 1, third)
+    spoken = F.array(event(0, "message", draft), event(1, "regenerate", F.lit("")), *(event(i + 2, "delta", part(i)) for i in range(3)))
+    written = F.array(event(0, "message", draft), event(9, "edit", text))
+    return rows.withColumn("e", F.explode(F.when(F.col("role") == "assistant", spoken).otherwise(written))).select("conv", "e.seq", "e.kind", "message", "role", F.col("e.said").alias("text"))
+
+
 def render(messages: DataFrame) -> DataFrame:
     """(conv, formatted, loss_spans): one row per conversation; the spans are the assistants' texts in code points of ``formatted``."""
     head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(ROLE_END))
@@ -91,18 +110,21 @@ def read_back(formatted: Column) -> Column:
     return F.transform(cut, lambda p: F.struct(unescaped(p[0]).alias("role"), unescaped(p[1]).alias("text")))
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text that the loss spans cover, unescaped."""
+    return F.array_join(F.transform(spans, lambda x: unescaped(F.substr(formatted, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), "")
+
+
 def op10_chat(spark, sf_dir) -> DataFrame:
-    log = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv"),
-        F.col("id").alias("seq"),
-        F.lit("message").alias("kind"),
+        F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    out = render(fold(log.unionByName(probe))).withColumn("turns", read_back(F.col("formatted")))
-    spoken = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
-    out = out.withColumn("loss", F.array_join(spoken, ""))
+    out = render(fold(streamed(turns.unionByName(probe)))).withColumn("turns", read_back(F.col("formatted")))
+    out = out.withColumn("loss", under_mask(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         F.col("conv").alias("conv_id"),
