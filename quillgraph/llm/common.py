@@ -34,21 +34,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is named (tests)."""
+    """The application's own folder in the cluster's shared one; a fresh local one only in local mode where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         own = tempfile.mkdtemp(prefix="quill-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = "file://" + own
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/quill-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes what the application has written to the shared folder; results that were not written elsewhere can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again.
 
     A lost executor then costs a re-read, never a recomputation of what stands
-    before the cut, and no single copy of a block is held by one machine.
+    before the cut, and no single copy of a block is held by one machine. A
+    result is lazy and may read the table at any later time, so it stays until
+    ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -84,3 +95,10 @@ def ascii_lower(text):
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranges_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Into how many ranges a table is cut: as many as shuffle partitions, more where one would have over ``each`` bytes of input."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(partitions(df), -(-size // each) if size < 1 << 55 else 0)  # a table that is not a file has no known size

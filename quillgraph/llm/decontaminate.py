@@ -5,9 +5,10 @@ words is one window). To find every occurrence of every window:
 
 1. Windows are broken into shingles of five words (all words of a shorter
    window). Document shingles that some window has are kept with their place;
-   this is the only pass over all words, and needs the distinct shingle hashes
-   of the benchmark on each task: they are broadcast up to ``SMALL`` of them,
-   joined by a shuffle beyond.
+   this is a pass over all words for each shingle size (one, unless items of
+   fewer than five words add theirs), and needs the distinct shingle hashes of
+   the benchmark on each task: they are broadcast up to ``SMALL`` of them, joined
+   by a shuffle beyond.
 2. Shingles are ordered by rarity among what was kept. A window occurs only
    with all of its shingles, so one prefix token, its rarest shingle, is joined;
    a window with a shingle that occurs nowhere is given up.

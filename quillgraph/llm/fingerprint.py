@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import partitions, table
+from quillgraph.llm.common import ranges_for, table
 from quillgraph.llm.packing import id_ranges, range_of
 
 SHINGLE = 5
@@ -77,7 +77,7 @@ def shown(s: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, sketch) with next_text and next_sketch of the next document by descending id, the first after the last."""
     docs = docs.withColumn("tie", F.xxhash64("text"))
-    bounds = id_ranges(docs, "doc_id", partitions(docs))
+    bounds = id_ranges(docs, "doc_id", ranges_for(docs))
     parts = len(bounds) + 1
     # the highest ids are in range 0; null ids are in the last
     rows = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(parts - 1)).otherwise(F.lit(parts - 1) - range_of(F.col("doc_id"), bounds)).cast("int"))

@@ -24,6 +24,7 @@ documents of their own; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bpe import Encoder, WordBpe, public_tokenizer
-from quillgraph.llm.common import partitions, resident, table, written
+from quillgraph.llm.common import ranges_for, resident, table, written
 
 #: Ids after which a block closes.
 BLOCK = 1 << 18
@@ -104,10 +105,14 @@ def id_ranges(docs: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def range_of(key, bounds: list[int]):
-    """Number of bounds that are at or below the key: 0 to len(bounds)."""
+    """Number of bounds that are at or below the key: 0 to len(bounds). Looked up in two steps, so a row costs the root of their number."""
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)), F.lit(0))
+    step = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    group = F.greatest(below(F.array(*(F.lit(g[0]) for g in groups))) - 1, F.lit(0))
+    return F.coalesce(group * step + below(F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group)), F.lit(0))
 
 
 def _blocks(bits: int, between: int):
@@ -153,7 +158,7 @@ NULL_ID = -(1 << 63)
 
 def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Encode, append ``end_id`` to each document, write the blocks; returns the written table."""
-    parts = parts or partitions(docs)
+    parts = parts or ranges_for(docs)
     raw = docs.sparkSession.sparkContext.broadcast(tokenizer)
     bits = width(max(encoder(tokenizer).size, end_id + 1))
     between = bits if bits in (8, 16) else 32  # between tasks an id takes whole bytes
