@@ -21,8 +21,11 @@ up every window, most of them by the phrase, finds the same words.
 
 Tasks first reduce what they deal: of equal phrases only the one with the
 smallest id goes to the index, the others are matches already. So a passage
-that a third of all documents share is a row per task, not per document.
-Phrases are compared by two independent 64-bit hashes, of anchor and phrase.
+that a third of all documents share is a row per task, not per document. Tasks
+of the index read their rows in order and keep one of them.
+
+Phrases are compared by two 64-bit hashes, of anchor and phrase, which combine
+the 64-bit hashes of their words in different ways.
 
 Defined results: a null text has no words; words are kept byte for byte; a null
 id is neither a reference nor deduplicated; rows that share an id are one
@@ -106,12 +109,12 @@ def _reduced(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return a[keep], s[keep], doc[keep], (least < doc)[keep]
 
 
-def _dealt(make):
-    """(deal, a, s, doc, found) from a function that yields (a, s, doc) arrays; ``deal`` spreads what needs no look-up."""
+def _dealt(make, by_anchor: bool):
+    """(deal, a, s, doc, found) from a function that yields (a, s, doc) arrays; ``deal`` is the anchor or the key, and spreads what needs no look-up."""
 
     def out(keys: list) -> pa.RecordBatch:
         a, s, doc, found = _reduced(keys)
-        deal = np.where(found, wordhash.mix(doc.view(np.uint64) + s.view(np.uint64)).view(np.int64), a)
+        deal = np.where(found, wordhash.mix(doc.view(np.uint64) + s.view(np.uint64)).view(np.int64), a if by_anchor else s)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, a, s, doc, found)], ["deal", "a", "s", "doc", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,43 +132,56 @@ def _dealt(make):
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, s, found) of sorted rows: phrases with a smaller id (found), and the first of each phrase whose anchor has several (to be asked for)."""
-    names = ["deal", "a", "s", "doc", "found"]
-
-    def group(c: list[np.ndarray]) -> pa.RecordBatch:
-        _, a, s, doc, found = c
-        open_ = ~found
-        a, s, doc = a[open_], s[open_], doc[open_]
-        oa, os_, od, hit = _reduced([(a, s, doc)])
-        heads = ~hit
-        ha, where, n = np.unique(oa[heads], return_inverse=True, return_counts=True)
-        del ha
-        ask = n[where] > 1
-        docs = np.concatenate([c[3][found], od[hit], od[heads][ask]])
-        keys = np.concatenate([c[2][found], os_[hit], os_[heads][ask]])
-        kind = np.ones(len(docs), bool)
-        kind[len(docs) - int(ask.sum()) :] = False
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys), pa.array(kind)], ["doc", "s", "found"])
-
-    rest: list[np.ndarray] | None = None
+    """(doc, s, found) of rows sorted by (a, s, doc): keys with a smaller id (found), and the first of each key whose anchor has several (to be asked for).
+
+    Rows stream by: what is kept is the last row and the head of its key, so a
+    common anchor needs no more memory than any other.
+    """
+    last: tuple[int, int, int] | None = None  # a, s, doc
+    head = 0  # the smallest id of the last row's key
+    pending: tuple[int, int] | None = None  # doc, s of a head whose anchor has had no other key so far
     for b in batches:
-        c = [np.asarray(b.column(n)) if n != "found" else b.column(n).to_numpy(zero_copy_only=False) for n in names]
-        if rest is not None:
-            c = [np.concatenate(x) for x in zip(rest, c, strict=True)]
-        cut = int(np.searchsorted(c[0], c[0][-1], "left")) if len(c[0]) else 0  # the last group may go on
-        if cut:
-            yield group([x[:cut] for x in c])
-        rest = [x[cut:] for x in c]
-    if rest is not None and len(rest[0]):
-        yield group(rest)
+        found = b.column("found").to_numpy(zero_copy_only=False)
+        a, s, doc = (np.asarray(b.column(n)) for n in ("a", "s", "doc"))
+        docs, keys = [doc[found]], [s[found]]
+        a, s, doc = a[~found], s[~found], doc[~found]
+        asks: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(a):
+            before = [np.append(x[:1] if last is None else last[i], x[:-1]) for i, x in enumerate((a, s, doc))]
+            other_a, other_s, other_doc = (x != y for x, y in zip((a, s, doc), before, strict=True))
+            if last is None:
+                other_a[0] = True
+            heads = other_a | other_s
+            at = np.maximum.accumulate(np.where(heads, np.arange(len(a)), -1))
+            least = np.where(at < 0, head, doc[at])
+            hit = ~heads & other_doc & (doc > least)
+            docs.append(doc[hit])
+            keys.append(s[hit])
+            where = np.flatnonzero(heads)
+            if len(where):
+                same = np.zeros(len(where) + 1, bool)  # has the anchor of the head before
+                same[1:-1] = a[where[1:]] == a[where[:-1]]
+                same[0] = last is not None and not other_a[where[0]] and a[where[0]] == last[0]
+                if same[0] and pending:
+                    asks.append((np.array(pending[:1]), np.array(pending[1:])))
+                several = same[:-1] | same[1:]
+                asks.append((doc[where[several]], s[where[several]]))
+                pending = None if several[-1] else (int(doc[where[-1]]), int(s[where[-1]]))
+            head = int(least[-1])
+            last = int(a[-1]), int(s[-1]), int(doc[-1])
+        n = sum(map(len, docs))
+        docs += [x for x, _ in asks]
+        keys += [x for _, x in asks]
+        docs, keys = np.concatenate(docs), np.concatenate(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.arange(len(docs)) < n)], ["doc", "s", "found"])
 
 
 _DEALT = "deal long, a long, s long, doc long, found boolean"
 
 
-def _index(rows: DataFrame, make) -> DataFrame:
-    made = rows.mapInArrow(_dealt(make), _DEALT)
-    return made.repartition(partitions(rows), "deal").sortWithinPartitions("deal").mapInArrow(_looked_up, "doc long, s long, found boolean")
+def _index(rows: DataFrame, make, by_anchor: bool) -> DataFrame:
+    made = rows.mapInArrow(_dealt(make, by_anchor), _DEALT)
+    return made.repartition(partitions(rows), "deal").sortWithinPartitions("a", "s", "doc").mapInArrow(_looked_up, "doc long, s long, found boolean")
 
 
 def _parsed(ids, texts) -> Iterator[tuple[int, Parsed, np.ndarray]]:
@@ -218,11 +234,11 @@ def marks(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with ``hits`` (phrases) and ``windows`` (single ones) that earlier documents have."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where(F.col("doc_id").isNotNull())
-    seen = _index(known, _phrases)
+    seen = _index(known, _phrases, by_anchor=True)
     lists = seen.groupBy("doc").agg(F.collect_list(F.when(F.col("found"), F.col("s"))).alias("hits"), F.collect_list(F.when(~F.col("found"), F.col("s"))).alias("asks"))
     lists = written(lists, "factors")
     asked = known.join(lists.where(F.size("asks") > 0).select("doc", "asks"), known["doc_id"] == F.col("doc")).select("doc_id", "text", "asks")
-    singles = _index(asked, _asked).where("found").groupBy("doc").agg(F.collect_list("s").alias("windows"))
+    singles = _index(asked, _asked, by_anchor=False).where("found").groupBy("doc").agg(F.collect_list("s").alias("windows"))
     singles = written(singles, "boundaries").withColumnRenamed("doc", "sdoc")
     both = lists.select("doc", "hits").join(singles, F.col("doc") == F.col("sdoc"), "left").select("doc", "hits", "windows")
     return docs.join(both, docs["doc_id"] == both["doc"], "left").select("doc_id", "text", "hits", "windows")
