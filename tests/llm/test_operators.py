@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from quillgraph.llm import bpe, chat, components, decontaminate, fingerprint, langid, packing, secrets, sharding, substrings
+from quillgraph.llm import bpe, chat, components, decontaminate, fingerprint, jaccard, langid, packing, secrets, sharding, substrings
 from quillgraph.llm.registry import QUERIES
 
 VOCABULARY = {"en": ["the", "over", "house", "river", "thing", "with", "and", "walk", "green"], "de": ["und", "schön", "straße", "nicht", "über", "haus", "zeit", "ich", "wald"]}
@@ -154,6 +154,82 @@ def test_secrets_behind_other_candidates():
         assert secrets.redacted(f"{junk}\n{one}\n{two}.") == f"{junk}\n[secret]\n[secret]."
 
 
+def test_only_keys_are_confirmed():
+    part = lambda tag, b: bytes([tag]) + (bytes([len(b)]) if len(b) < 128 else b"\x82" + len(b).to_bytes(2, "big")) + b
+    oid = lambda h: part(6, bytes.fromhex(h))
+    seq = lambda *x: part(0x30, b"".join(x))
+    rsa = seq(number(0), *(number((1 << 90) + i) for i in range(8)))
+    rsa_id, ec_id = seq(oid("2a864886f70d010101"), b"\x05\0"), seq(oid("2a8648ce3d0201"), oid("2a8648ce3d030107"))
+    ec = lambda *more: seq(number(1), part(4, bytes(range(32))), *more)
+    public = part(0xA1, part(3, b"\0" + bytes(64)))
+    keys = [
+        rsa, seq(number(0), rsa_id, part(4, rsa)), ec(public), ec(part(0xA0, oid("2a8648ce3d030107")), public), seq(number(0), ec_id, part(4, ec())),
+        seq(number(0), seq(oid("2b6570")), part(4, part(4, bytes(range(32))))), seq(seq(oid("2a864886f70d01050d"), seq(seq(oid("2a864886f70d01050c")))), part(4, bytes(range(64)))),
+        seq(number(0), seq(oid("2a8648ce380401"), seq(number(1 << 99))), part(4, number(1 << 150))), seq(number(0), seq(oid("2b060104018230")), part(4, part(4, bytes(40)))),
+    ]
+    others = [
+        seq(seq(oid("608648016503040201"), b"\x05\0"), part(4, bytes(range(32)))), seq(number(0), rsa_id, part(4, b"not a key at all" * 3)), seq(number(0), rsa_id, part(4, rsa + b"\0")), ec(), ec(part(0xA1, b"junk" * 9)),
+        seq(number(0), seq(oid("2b6570")), part(4, part(4, bytes(31)))), seq(seq(oid("2a864886f70d010101"), b"\x05\0"), part(3, bytes(60))), seq(number(2), *(number((1 << 90) + i) for i in range(8))), seq(number(0), *(number((1 << 90) + i) for i in range(7)), part(4, bytes(9))),
+    ]
+    for raw, want in [(k, {"der"}) for k in keys] + [(k, set()) for k in others]:
+        for text in (base64.b64encode(raw).decode(), raw.hex().upper()):
+            found = [(a, b, k) for a, b, k in secrets.find_secrets(f"é {text}.") if k == "der"]
+            assert {k for *_, k in found} == want and all((a, b) == (2, 2 + len(text)) for a, b, _ in found), raw
+
+
+def brute_base(t):
+    """Each kind by trying every place in turn."""
+    plain = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    words = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    out, n = [], len(t)
+
+    def run(i, allowed):
+        while i < n and t[i] in allowed:
+            i += 1
+        return i
+
+    def assign(i):
+        w = next((w for w in words if low(t[i : i + len(w)]) == w), None)
+        if w is None:
+            return None
+        i += len(w)
+        i = run(i + (t[i : i + 1] in ('"', "'") and i < n), " ")
+        if t[i : i + 1] not in (":", "="):
+            return None
+        i = run(i + 1, " ")
+        i += t[i : i + 1] in ('"', "'") and i < n
+        end = run(i, plain | set("+/_.=-"))
+        return (end, end - i >= 8) if end > i else None
+
+    def access(i):
+        end = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - i >= 16) if t.startswith("AKIA", i) and end > i + 4 else None
+
+    def hexes(i):
+        end = run(i, set("0123456789abcdef"))
+        return (end, end - i >= 32) if end > i else None
+
+    for kind, at in (("assign", assign), ("access", access), ("hex", hexes)):
+        i = 0
+        while i < n:
+            found = at(i)
+            if found and found[1]:
+                out.append((i, found[0], kind))
+            i = found[0] if found else i + 1
+    return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
+def test_op2_matches_brute_force(spark, folder):
+    rng = random.Random(6)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "apiKey", '"', "'", " ", "  ", ":", "=", "AKIA", "AKI", "A", "0", "f", "ab12" * 7, "ab", "é", "\n", "+", "/", "_", ".", "-", "Z9" * 6, "x", "\t"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(6000)] + [t for _, t in documents() if t]
+    kept = [[(a, b, k) for a, b, k in secrets.find_secrets(t) if k in secrets.KINDS[:3]] for t in texts]
+    assert kept == [brute_base(t) for t in texts] and sum(map(len, kept)) > 250
+    for r in QUERIES["op2_secrets"](spark, folder).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect():
+        options = [brute_base(t or "") for d, t in documents() if d == r["doc_id"]]
+        assert (*(r[1:4]), r[4]) in [(*(sum(k == x for *_, k in o) for x in secrets.KINDS[:3]), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in o).encode()).hexdigest()) for o in options]
+
+
 def library():
     tokenizers = pytest.importorskip("tokenizers")
     return tokenizers.Tokenizer.from_str(bpe.public_tokenizer().decode())
@@ -199,6 +275,23 @@ def test_op5(spark, folder):
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
 
 
+def test_op5_places_by_rendezvous(spark, folder):
+    def unit(key, shard):
+        one = xxhash.xxh64_intdigest(("n" if key is None else f"k{key}").encode(), seed=42)
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(one.to_bytes(8, "little"), seed=42))
+        return ((h >> 12) + 0.5) / 2**52
+
+    for r in QUERIES["op5_shard"](spark, folder).collect():
+        scores = [-1 / np.log(unit(r["doc_id"], i)) for i in range(25)]
+        assert (r["shard"], r["grown_shard"]) == (int(np.argmax(scores[:24])), int(np.argmax(scores)))
+
+
+def test_equal_rows_get_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL", 10)
+    rows = sharding.place(spark.range(3000).selectExpr("cast(7 as long) doc_id", "'same' text").repartition(6), "doc_id", "text", [1.0, 1.0, 2.0]).collect()
+    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(3000))
+
+
 def test_rendezvous_follows_the_weights(spark):
     from pyspark.sql import functions as F
 
@@ -247,6 +340,45 @@ def test_repeats_with_shifted_and_overlapping_copies(spark):
     assert spans == {d: g for d, _, g, _ in got}
 
 
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [8, 128, 1024, 4096])
+def test_words_alike_in_all_sums_differ(spark, size):
+    x, y = thue_morse(size)
+    raw = [x.encode(), y.encode(), (x + "a").encode()]
+    h, *_ = substrings.wordhash.words(raw, lower=False)
+    assert len(set(h.tolist())) == 3 and h[0] == substrings.wordhash.words([b"w " + raw[0] + b" z"], lower=False)[0][1]
+    docs = spark.createDataFrame([(1, " ".join([x] * 13)), (2, " ".join([y] * 13)), (3, " ".join([x] * 13))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.deduplicated(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, 3, 90).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_look_ups_stream(monkeypatch):
+    rng = random.Random(7)
+    rows = sorted((rng.randrange(6), rng.randrange(4), rng.randrange(5)) for _ in range(300)) + [(9, 1, 4), (10, 1, 3), (10, 2, 3)]
+    table = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    for size in (1, 2, 7, 400):
+        pa = substrings.pa
+        batches = [pa.RecordBatch.from_arrays([*(pa.array(c[i : i + size]) for c in table), pa.array(np.zeros(len(table[0][i : i + size]), bool))], ["a", "s", "doc", "found"]) for i in range(0, len(rows), size)]
+        got = sorted((d, s, f) for b in substrings._looked_up(iter(batches)) for d, s, f in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        least = {(a, s): min(d for x, y, d in rows if (x, y) == (a, s)) for a, s, _ in rows}
+        want = {(a, s, d, True) for a, s, d in rows if d > least[a, s]} | {(a, s, d, False) for (a, s), d in least.items() if len({y for x, y in least if x == a}) > 1}
+        assert got == sorted((d, s, f) for _, s, d, f in want)
+
+
+def test_range_of_finds_the_range(spark):
+    from pyspark.sql import functions as F
+
+    for bounds in ([], [5], [1, 4, 9], list(range(0, 500, 7))):
+        got = [r[0] for r in spark.range(-3, 510).select(packing.range_of(F.col("id"), bounds)).collect()]
+        assert got == [sum(b <= i for b in bounds) for i in range(-3, 510)]
+
+
 def test_a_passage_has_the_same_phrases_beyond_2_to_the_24_words():
     passage = b" ".join(b"p%d" % i for i in range(200))
     alone = substrings.Parsed([passage])
@@ -305,18 +437,90 @@ def test_op8(spark, folder):
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
 
 
+def led(texts):
+    return [langid._LEAD + t for t in texts]
+
+
 def test_model_gives_probabilities():
-    codes, n = np.unique(langid.grams(["der schöne wald", "das haus und der wald"])[0], return_counts=True)
-    m = langid.KneserNey(codes.astype(np.int64), n)
-    context = int(codes[5]) >> 6 << 6
-    assert abs(np.exp(m.log_probability(np.arange(64) + context)).sum() - 1) < 1e-6
+    codes, n = np.unique(langid.grams(led(["der schöne wald", "das haus und der wald"]))[0], return_counts=True)
+    m = langid.KneserNey(codes, n)
+    context = codes[5] >> np.uint64(16) << np.uint64(16)
+    assert abs(np.exp(m.log_probability(np.arange(1 << 16, dtype=np.uint64) + context)).sum() - 1) < 1e-6
+
+
+def test_model_matches_interpolated_kneser_ney():
+    texts = ["abra cadabra", "abba ab", "Ба ба, 12"]
+    plain = [langid._LEAD + "".join("0" if c in "12" else c for c in t.lower()) for t in texts]
+    counts = {k: {} for k in range(1, 5)}
+    for t in plain:
+        for i in range(3, len(t)):
+            counts[4][t[i - 3 : i + 1]] = counts[4].get(t[i - 3 : i + 1], 0) + 1
+    for k in (3, 2, 1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return 1 / (1 << 16)
+        c = counts[len(g)]
+        ones, twos = (sum(n == x for n in c.values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        here = [n for x, n in c.items() if x[:-1] == g[:-1]]
+        return max(c.get(g, 0) - d, 0) / sum(here) + d * len(here) / sum(here) * p(g[1:]) if here else p(g[1:])
+
+    codes, n = np.unique(langid.grams(led(texts))[0], return_counts=True)
+    model = langid.KneserNey(codes, n)
+    for g in ("abra", "cada", "abrz", "zzzz", "ба, ", "0000", ", 00", "   a"):
+        code = sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g))
+        assert abs(float(model.log_probability(np.array([code], np.uint64))[0]) - np.log(p(g))) < 1e-9
+    want = [-sum(np.log(p(t[i - 3 : i + 1])) for i in range(3, len(t))) / (len(t) - 3) for t in plain]
+    assert np.allclose(langid.Scorer({"x": model}).entropies(texts)[:, 0], want, atol=1e-5)
+
+
+def test_symbols_are_not_confused():
+    s = langid.symbols()
+    assert len({int(s[ord(c)]) for c in "жњϊя中文abé,«»-\u0301"}) == 14 and s[ord("Ж")] == s[ord("ж")]
+    assert len({int(s[ord(c)]) for c in "12٣ "}) == 2 and s[0] == s[ord("\n")] == 32
+    assert not langid._LETTER.search("² ½ Ⅷ 12 ...!") and langid._LETTER.search("ª")
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdeé ", k=n)) for n in (1, 50, 5000, 7)]
+    codes, n = np.unique(langid.grams(led(texts[:2]))[0], return_counts=True)
+    model = {"a": langid.KneserNey(codes, n)}
+    whole = langid.Scorer(model).entropies(texts)
+    monkeypatch.setattr(langid, "CHUNK", 40)
+    monkeypatch.setattr(langid, "KEPT", 64)
+    assert np.allclose(langid.Scorer(model).entropies(texts), whole)
+
+
+SYLLABLES = {"en": "the ing and er th on wh ou ly st", "nl": "de het ij oe en aa ver ge ek ui", "ru": "ов ст но ен пр ый ка го ть ли", "uk": "їв ст ні ен пр ий ка го ть ли"}
+
+
+def prose_in(lang, n, rng):
+    parts = SYLLABLES[lang].split()
+    return " ".join("".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_held_out_accuracy_and_rejection(spark):
+    rng = random.Random(4)
+    known = [(prose_in(k, rng.randrange(5, 120), rng), k) for k in SYLLABLES for _ in range(150)]
+    model = langid.train(spark.createDataFrame(known, "text string, lang string").repartition(4))
+    others = [(prose_in(k, rng.randrange(5, 120), rng), k) for k in SYLLABLES for _ in range(100)]
+    junk = [("".join(rng.choices("qxzjkvw0123456789#@", k=n)), "") for n in range(40, 140)] + [("中文字" * n, "") for n in range(20, 40)]
+    got = langid.predict(spark.createDataFrame(others + junk, "text string, lang string"), model).collect()
+    clean = [r for r in got if r["lang"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in clean) >= 0.98 * len(clean)
+    assert sum(r["rejected"] for r in clean) <= 0.01 * len(clean)
+    assert sum(r["rejected"] for r in got if not r["lang"]) >= 0.95 * len(junk)
 
 
 def test_model_keeps_all_counted_grams(spark):
     rng = random.Random(8)
     letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0x3B1, 0x3CA)) + "\u0144 "
     texts = ["".join(rng.choices(letters, k=50_000)) for _ in range(12)]
-    codes, n = np.unique(langid.grams(texts)[0], return_counts=True)
+    codes, n = np.unique(langid.grams(led(texts))[0], return_counts=True)
     assert len(codes) > 400_000
     models, _ = pickle.loads(langid.train(spark.createDataFrame([(t, "en") for t in texts] + [("der wald", "de")], "text string, lang string").repartition(3)))
     whole = langid.KneserNey(codes, n)
@@ -343,6 +547,23 @@ def test_events_fold_into_messages(spark):
     assert [out["formatted"][s["start"] : s["end"]] for s in out["loss_spans"]] == ["c&lt;d"]
 
 
+def test_events_find_their_message_by_id(spark):
+    log = [(1, "message", "a", "user", "one"), (2, "message", "b", "assistant", "two"), (3, "delta", "a", "user", "+"), (4, "delta", None, "assistant", "!"), (5, "edit", "a", "user", "uno"), (6, "message", "a", "user", "again"), (7, "delta", "a", "user", "?"), (8, "delta", "zz", "user", "."), (9, "regenerate", "b", "assistant", "x"), (10, "delta", "b", "assistant", "dos")]
+    df = spark.createDataFrame([(1, *x) for x in log], "conv long, seq long, kind string, message string, role string, text string")
+    got = [(r["role"], r["text"]) for r in chat.fold(df).orderBy("ord").collect()]
+    assert got == [("user", "uno?"), ("assistant", "dos"), ("user", "again.")]
+
+
+def test_streamed_turns_come_back(spark):
+    turns = [(1, 0, "user", "a<b&[c"), (1, 1, "assistant", "x"), (1, 2, "assistant", "né[/INST]</s>😀!"), (1, 2, "assistant", None), (1, 3, "user", "last"), (None, 0, None, "t")]
+    df = spark.createDataFrame(turns, "conv long, turn long, role string, text string")
+    log = chat.streamed(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "regenerate", "delta", "edit"}
+    got = chat.fold(log).orderBy("conv", "ord").collect()
+    want = [("", "t"), ("user", "a<b&[c"), ("assistant", "x"), ("assistant", ""), ("assistant", "né[/INST]</s>😀!"), ("user", "last")]
+    assert [(r["role"], r["text"]) for r in got] == want
+
+
 @pytest.mark.parametrize("stretch", [200_000, 3])
 def test_components(spark, monkeypatch, stretch):
     monkeypatch.setattr(components, "STRETCH", stretch)
