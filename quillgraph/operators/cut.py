@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder that the session names and read again; kept in the session where it names none.
+def shared_folder(spark: SparkSession) -> str:
+    """The application's own folder in the one that ``spark.checkpoint.dir`` names; a fresh local one only in local mode where none is named (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        own = tempfile.mkdtemp(prefix="quill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/quill-{spark.sparkContext.applicationId}"
+
 
-    Readers then share one computation, and on a cluster a lost executor costs a re-read.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+def cut(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: readers share one computation, and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -57,26 +57,27 @@ def _column(variable: str) -> str:
 
 
 def pattern_edges(edges: DataFrame, pattern: Pattern, subject_known: bool, object_known: bool) -> DataFrame:
-    """(s, o, place): what a pattern may bind. With both ends open it binds nothing.
+    """(s, s_label, o, o_label, place): what a pattern may bind. With both ends open it binds nothing.
 
     Symmetric relations also match against the stored direction; there only the
     end that the search does not start from is tested for its type.
     """
     of = edges.where(F.col("relation") == pattern.relation)
     st, ot = pattern.subject.type, pattern.object.type
-    both = typed("src_type", st) & typed("dst_type", ot)
     place = lambda rank: F.array(F.lit(rank), "src", "relation", "dst", "document_id").alias("place")
+
+    def ends(rows: DataFrame, s: str, o: str, rank: str) -> DataFrame:
+        return rows.select(F.col(s).alias("s"), F.col(f"{s}_label").alias("s_label"), F.col(o).alias("o"), F.col(f"{o}_label").alias("o_label"), place(rank))
+
     parts = []
     if subject_known or object_known:
-        parts.append(of.where(both).select(F.col("src").alias("s"), F.col("dst").alias("o"), place("0" if subject_known else "1")))
+        parts.append(ends(of.where(typed("src_type", st) & typed("dst_type", ot)), "src", "dst", "0" if subject_known else "1"))
     if pattern.relation in vocab.SYMMETRIC:
         if subject_known:
-            parts.append(of.where(typed("src_type", ot)).select(F.col("dst").alias("s"), F.col("src").alias("o"), place("2")))
+            parts.append(ends(of.where(typed("src_type", ot)), "dst", "src", "2"))
         if object_known:
-            parts.append(of.where(typed("dst_type", st)).select(F.col("dst").alias("s"), F.col("src").alias("o"), place("3")))
-    if not parts:
-        return of.where("false").select(F.col("src").alias("s"), F.col("dst").alias("o"), place("0"))
-    out = parts[0]
+            parts.append(ends(of.where(typed("dst_type", st)), "dst", "src", "3"))
+    out = parts[0] if parts else ends(of.where("false"), "src", "dst", "0")
     for p in parts[1:]:
         out = out.unionByName(p)
     for term, end in ((pattern.subject, "s"), (pattern.object, "o")):
@@ -86,49 +87,64 @@ def pattern_edges(edges: DataFrame, pattern: Pattern, subject_known: bool, objec
 
 
 def run_patterns(edges: DataFrame, plan: Plan) -> list[DataFrame]:
-    """Bindings after each pattern: a column per variable, and ``place``, the edges they came by. First edge wins per binding."""
+    """Bindings after each pattern: a column per variable, ``label`` of the answer once it is bound, and ``place``, the edges they came by. First edge wins per binding."""
     bound: DataFrame | None = None
     steps = []
     for pattern in plan.patterns:
-        names = [] if bound is None else [c for c in bound.columns if c != "place"]
-
-        def known(t: Term, names=names) -> bool:
-            return bool(t.entity_id) or _column(t.variable) in names
-
-        found = pattern_edges(edges, pattern, known(pattern.subject), known(pattern.object))
-        ends = [(t, e) for t, e in ((pattern.subject, "s"), (pattern.object, "o")) if t.variable]
-        new = [F.col(e).alias(_column(t.variable)) for t, e in ends]
+        names = [] if bound is None else [c for c in bound.columns if c.startswith("v_")]
+        known = [bool(t.entity_id) or _column(t.variable) in names for t in (pattern.subject, pattern.object)]
+        found = pattern_edges(edges, pattern, *known).withColumnRenamed("place", "here")
+        ends = {_column(t.variable): e for t, e in ((pattern.subject, "s"), (pattern.object, "o")) if t.variable}
+        new = [v for v in ends if v not in names]
+        labelled = [F.col(f"{ends[v]}_label").alias("label") for v in new if v == _column(plan.answer)]
         if bound is None:
-            joined = found.select(*new, "place")
+            joined = found.select(*(F.col(ends[v]).alias(v) for v in new), *labelled, F.col("here").alias("place"))
         else:
-            shared = [(_column(t.variable), e) for t, e in ends if _column(t.variable) in names]
-            found = found.withColumnRenamed("place", "here")
             on = F.lit(True)
-            for v, e in shared:
-                on = on & (F.col(v) == F.col(e))
-            added = [F.col(e).alias(_column(t.variable)) for t, e in ends if _column(t.variable) not in names]
-            joined = bound.join(found, on).select(*names, *added, F.concat("place", "here").alias("place"))
-        variables = [c for c in joined.columns if c != "place"]
-        bound = joined.groupBy(*variables).agg(F.min("place").alias("place")) if variables else joined.agg(F.min("place").alias("place")).where("place IS NOT NULL")
+            for v in (v for v in ends if v in names):
+                on = on & (F.col(v) == F.col(ends[v]))
+            before = [c for c in bound.columns if c != "place"]
+            joined = bound.join(found, on).select(*before, *(F.col(ends[v]).alias(v) for v in new), *labelled, F.concat("place", "here").alias("place"))
+        label = [F.first("label").alias("label")] if "label" in joined.columns else []
+        variables = [c for c in joined.columns if c.startswith("v_")]
+        least = [*label, F.min("place").alias("place")]
+        bound = joined.groupBy(*variables).agg(*least) if variables else joined.agg(*least).where("place IS NOT NULL")
         steps.append(bound)
     return steps
 
 
-def answers(bindings: DataFrame, labels: DataFrame, answer: str = "?answer") -> DataFrame:
-    """(entity_id, answer, place): each bound answer once, by its first binding."""
-    first = bindings.groupBy(F.col(_column(answer)).alias("entity_id")).agg(F.min("place").alias("place"))
-    return first.join(labels.select("entity_id", "label"), "entity_id", "left").select("entity_id", F.coalesce("label", "entity_id").alias("answer"), "place")
+def answers(bindings: DataFrame, answer: str = "?answer") -> DataFrame:
+    """(entity_id, answer, place): each bound answer once, by its first binding; its label stands on the edge that bound it."""
+    rows = bindings.groupBy(F.col(_column(answer)).alias("entity_id")).agg(F.first("label").alias("label"), F.min("place").alias("place"))
+    return rows.select("entity_id", F.coalesce("label", "entity_id").alias("answer"), "place")
 
 
-def plan_union(edges: DataFrame, plan: Plan, labels: DataFrame) -> DataFrame:
+def plan_union(edges: DataFrame, plan: Plan) -> DataFrame:
     """(entity_id, answer, plan_no, place) over the plan and its alternatives; the first plan that finds an answer has it."""
-    parts = [answers(run_patterns(edges, p)[-1], labels, p.answer).withColumn("plan_no", F.lit(n)) for n, p in enumerate((plan, *plan.alternatives))]
+    parts = [answers(run_patterns(edges, p)[-1], p.answer).withColumn("plan_no", F.lit(n)) for n, p in enumerate((plan, *plan.alternatives))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("entity_id", "answer").agg(F.min(F.struct("plan_no", "place")).alias("m")).select("entity_id", "answer", "m.plan_no", "m.place")
 
 
+#: Fields of an edge in ``place``.
+_PLACE = 5
+
+
+def execution_steps(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(answer, plan_no, step, edge columns): the edge by which each step of each answer was bound. ``found`` is (answer, plan_no, place)."""
+    n = F.floor(F.size("place") / _PLACE).cast("int")
+    hops = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("step"), F.slice("place", (i - 1) * _PLACE + 1, _PLACE).alias("p")))
+    rows = found.select("answer", "plan_no", F.inline(hops))
+    key = dict(zip(("src", "relation", "dst", "document_id"), range(1, _PLACE), strict=True))
+    rows = rows.select("answer", "plan_no", "step", *(F.col("p")[i].alias(f"at_{c}") for c, i in key.items()))
+    on = F.lit(True)
+    for c in key:
+        on = on & (F.col(c) == F.col(f"at_{c}"))
+    return edges.join(rows, on).select("answer", "plan_no", "step", *edges.columns)
+
+
 def neighbourhood(edges: DataFrame, entity_id: str, depth: int) -> DataFrame:
     """(entity_id, distance): nodes within ``depth`` undirected hops, the start included; none for an unknown start."""
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))

@@ -12,7 +12,7 @@ from quillgraph.functions import vocab
 from quillgraph.operators import coref, explore, mentions, resolve, search, triples
 from quillgraph.operators.cut import cut
 from quillgraph.plans.question import Lexicon, Parser, Pattern, Plan, Term
-from quillgraph.sources import relational
+from quillgraph.sources import store
 from quillgraph.sources.relational import CANDIDATES_SQL, table
 
 QUERIES: dict[str, Callable] = {}
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _triples(spark, d: str) -> DataFrame:
-    return triples.build(relational.candidates(spark, d))
+    return store.graph(spark, d)
 
 
 def _edges(spark, d: str) -> DataFrame:
@@ -92,10 +92,10 @@ def entity_ids(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.entity_id(F.lit("ORGANIZATION"), F.col("s_name")).alias("entity_id"))
 
 
-@query("mention_ids", "SELECT doc_id, 'mention:' || doc_id || ':0:5:' || regexp_replace(regexp_replace(lower(trim(substr(text, 1, 5))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS mention_id FROM documents WHERE regexp_matches(text, '^[a-zA-Z]{5}') AND NOT regexp_matches(lower(text), '^(dr|mr|mrs|ms|prof|sir|madam)([^a-z0-9]|$)')")
+@query("mention_ids", r"SELECT doc_id, 'mention:' || doc_id || ':0:' || length(text) || ':' || regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(trim(text, ' '), chr(39) || 's$', '', 'i')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '^((dr|mr|mrs|ms|prof|sir|madam)(_|$))+', '') AS mention_id FROM documents")
 def mention_ids(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike("^[a-zA-Z]{5}") & ~F.lower("text").rlike("^(dr|mr|mrs|ms|prof|sir|madam)([^a-z0-9]|$)"))
-    return docs.select("doc_id", T.mention_id(F.col("doc_id").cast("string"), F.lit(0), F.lit(5), F.substring("text", 1, 5)).alias("mention_id"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", T.mention_id(F.col("doc_id").cast("string"), F.lit(0), F.char_length("text"), F.col("text")).alias("mention_id"))
 
 
 @query("normalise_text", r"SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '^the ', '') AS normal FROM documents")
@@ -105,7 +105,7 @@ def normalise_text(spark, d):
 
 @query("confidence_bands", G + "SELECT rule_id, confidence, count(*)::BIGINT AS n FROM triples GROUP BY ALL")
 def confidence_bands(spark, d):
-    c = relational.candidates(spark, d).withColumn("confidence", T.confidence(F.col("coref_resolved"), F.lit(False), F.col("inferred")))
+    c = store.candidates(spark, d).withColumn("confidence", T.confidence(F.col("coref_resolved"), F.lit(False), F.col("inferred")))
     return triples.build(c).groupBy("rule_id", "confidence").agg(F.count("*").alias("n"))
 
 
@@ -280,7 +280,7 @@ def triple_dedup_support(spark, d):
 
 
 def _spoiled(spark, d: str) -> DataFrame:
-    c = relational.candidates(spark, d)
+    c = store.candidates(spark, d)
     o = F.when(F.col("sentence_index") == 3, F.lit(None)).when(F.col("sentence_index") == 5, F.col("subject_id")).otherwise(F.col("object_id"))
     return c.withColumn("object_id", o).withColumn("object_type", F.when(F.col("sentence_index") == 6, "LITERAL").otherwise(F.col("object_type")))
 
@@ -290,13 +290,13 @@ def reject_reasons(spark, d):
     return triples.rejected_counts(_spoiled(spark, d))
 
 
-@query("edges", G + "SELECT subject_id AS src, object_id AS dst, relation, document_id, sentence_index AS sentence_id, sentence, triple_id, duplicate_count FROM triples WHERE relation <> 'uses'")
+@query("edges", G + "SELECT subject_id AS src, object_id AS dst, relation, document_id, sentence_index AS sentence_id, sentence, triple_id, duplicate_count FROM triples")
 def edges(spark, d):
-    return triples.edges(_triples(spark, d)).where("relation <> 'uses'").select("src", "dst", "relation", "document_id", "sentence_id", "sentence", "triple_id", "duplicate_count")
+    return triples.edges(_triples(spark, d)).select("src", "dst", "relation", "document_id", "sentence_id", "sentence", "triple_id", "duplicate_count")
 
 
 def _mentions(spark, d: str) -> DataFrame:
-    return relational.candidates(spark, d).select(F.inline(F.array(F.struct(F.col("subject_id").alias("entity_id"), "document_id"), F.struct(F.col("object_id").alias("entity_id"), "document_id"))))
+    return store.candidates(spark, d).select(F.inline(F.array(F.struct(F.col("subject_id").alias("entity_id"), "document_id"), F.struct(F.col("object_id").alias("entity_id"), "document_id"))))
 
 
 M_SQL = ", m AS (SELECT subject_id AS entity_id, document_id FROM cand UNION ALL SELECT object_id, document_id FROM cand), st AS (SELECT entity_id, count(*)::BIGINT AS mention_count, count(DISTINCT document_id)::BIGINT AS n_documents FROM m GROUP BY entity_id) "
@@ -324,7 +324,7 @@ def relation_histogram(spark, d):
 
 @query("run_counters", G + "SELECT (SELECT count(*) FROM cand)::BIGINT AS relation_candidates, (SELECT count(*) FROM triples)::BIGINT AS triples, (SELECT count(*) FROM nodes)::BIGINT AS nodes, (SELECT count(*) FROM nodes WHERE type <> 'LITERAL')::BIGINT AS entities, (SELECT max(degree) FROM nodes)::BIGINT AS largest_degree, (SELECT sum(duplicate_count) FROM triples)::BIGINT AS support")
 def run_counters(spark, d):
-    return triples.counters(_triples(spark, d), relational.candidates(spark, d)).select("relation_candidates", "triples", "nodes", "entities", "largest_degree", "support")
+    return triples.counters(_triples(spark, d), store.candidates(spark, d)).select("relation_candidates", "triples", "nodes", "entities", "largest_degree", "support")
 
 
 @query("triples_for_entity", G + f"SELECT {T_COLS} FROM triples WHERE subject_id = 'organization:supplier_000000001' OR object_id = 'organization:supplier_000000001'")
@@ -368,8 +368,7 @@ def _asked(spark, d: str, question: str) -> DataFrame:
     parse, plan = p.parse(question), p.plan(question)
     e = _edges(spark, d)
     if plan:
-        names = triples.degrees(_triples(spark, d)).select("entity_id", "label")
-        return search.plan_union(e, plan, names).select("entity_id", "answer", "plan_no")
+        return search.plan_union(e, plan).select("entity_id", "answer", "plan_no")
     return search.best_evidence(search.search(e, parse.entity.entity_id, parse.relations, parse.direction)).select("answer", "document_id", "sentence_id", "triple_id")
 
 
@@ -400,12 +399,21 @@ def lookup_symmetric(spark, d):
     return _asked(spark, d, f"Who partnered with {SUPPLIER}?")
 
 
-@query("parse_questions")
+_PARSED = [
+    (f"Who founded {SUPPLIER}?", "relation_lookup", S_ID, "founded", "founded", "incoming", "false"),
+    (f"What does {SUPPLIER} develop?", "relation_lookup", S_ID, "develops", "develop", "outgoing", "false"),
+    (f"Who works with {SUPPLIER}?", "relation_lookup", S_ID, "collaborates_with,partners_with", "works with", "both", "true"),
+    (f"Which parts are used by {CUSTOMER}?", "relation_lookup", C_ID, "uses", "used by", "outgoing", "false"),
+    (f"How is {SUPPLIER} connected to {CUSTOMER}?", "connection", S_ID, "", "", "outgoing", "false"),
+    ("Who leads nothing?", "unknown", "NULL", "leads", "leads", "outgoing", "false"),
+]
+
+
+@query("parse_questions", " UNION ALL ".join(f"SELECT '{q}' AS question, '{i}' AS intent, {e} AS entity_id, '{r}' AS relations, '{p}' AS phrase, '{w}' AS direction, {a} AS ambiguous" for q, i, e, r, p, w, a in _PARSED))
 def parse_questions(spark, d):
     p = _parser(spark, d)
-    asked = [f"Who founded {SUPPLIER}?", f"What does {SUPPLIER} develop?", f"Who works with {SUPPLIER}?", f"Which parts are used by {CUSTOMER}?", f"How is {SUPPLIER} connected to {CUSTOMER}?", "Who leads nothing?"]
-    rows = [(q, x.intent, x.entity.entity_id if x.entity else None, list(x.relations), x.phrase, x.direction, x.ambiguous) for q in asked for x in [p.parse(q)]]
-    return spark.createDataFrame(rows, "question string, intent string, entity_id string, relations array<string>, phrase string, direction string, ambiguous boolean")
+    rows = [(q, x.intent, x.entity.entity_id if x.entity else None, ",".join(x.relations), x.phrase, x.direction, x.ambiguous) for q, *_ in _PARSED for x in [p.parse(q)]]
+    return spark.createDataFrame(rows, "question string, intent string, entity_id string, relations string, phrase string, direction string, ambiguous boolean")
 
 
 HOP2 = G + "SELECT DISTINCT d.subject_id AS entity_id, d.subject AS answer, 0 AS plan_no FROM triples d JOIN triples u ON u.relation = 'uses' AND u.object_id = d.object_id AND u.subject_id = " + C_ID + " WHERE d.relation = 'develops'"
@@ -446,38 +454,57 @@ def symmetric_pattern(spark, d):
 # -- paths and exploration ----------------------------------------------------------
 
 
-def _sparse(spark, d: str) -> DataFrame:
-    """Edges without the order lines, so that a few hops do not reach everything."""
-    return _edges(spark, d).where(F.col("relation").isin("contains", "develops", "focuses_on", "partners_with"))
-
-
-SPARSE = ", sparse AS (SELECT subject_id AS src, object_id AS dst, relation, document_id FROM triples WHERE relation IN ('contains', 'develops', 'focuses_on', 'partners_with')), bi AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse) "
-BFS = SPARSE + f", d0 AS (SELECT DISTINCT src AS n, 0 AS distance FROM bi WHERE src = {S_ID}), d1 AS (SELECT DISTINCT dst AS n, 1 AS distance FROM bi JOIN d0 ON src = n WHERE dst NOT IN (SELECT n FROM d0)), d2 AS (SELECT DISTINCT dst AS n, 2 AS distance FROM bi JOIN d1 ON src = n WHERE dst NOT IN (SELECT n FROM d0 UNION SELECT n FROM d1)) "
+BI = ", bi AS (SELECT subject_id AS src, object_id AS dst FROM triples UNION SELECT object_id, subject_id FROM triples) "
+BFS = BI + f", d0 AS (SELECT DISTINCT src AS n, 0 AS distance FROM bi WHERE src = {S_ID}), d1 AS (SELECT DISTINCT dst AS n, 1 AS distance FROM bi JOIN d0 ON src = n WHERE dst NOT IN (SELECT n FROM d0)), d2 AS (SELECT DISTINCT dst AS n, 2 AS distance FROM bi JOIN d1 ON src = n WHERE dst NOT IN (SELECT n FROM d0 UNION SELECT n FROM d1)) "
 
 
 @query("neighbourhood_k", G + BFS + "SELECT n AS entity_id, distance FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2")
 def neighbourhood_k(spark, d):
-    return search.neighbourhood(_sparse(spark, d), S_ID.strip("'"), 2)
+    return search.neighbourhood(_edges(spark, d), S_ID.strip("'"), 2)
 
 
 @query("bfs_distance", G + BFS + "SELECT distance, count(*)::BIGINT AS n FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY distance")
 def bfs_distance(spark, d):
-    return search.neighbourhood(_sparse(spark, d), S_ID.strip("'"), 2).groupBy("distance").agg(F.count("*").alias("n"))
+    return search.neighbourhood(_edges(spark, d), S_ID.strip("'"), 2).groupBy("distance").agg(F.count("*").alias("n"))
 
 
-@query("bfs_paths")
+def _paths_sql(source: str, target: str, depth: int) -> str:
+    """Breadth-first paths, a level a step: ``f`` are the nodes reached first at a level, ``h`` the paths that end there."""
+    moves = """, moves AS (SELECT subject_id AS node, object_id AS next, relation, document_id, 'forward' AS direction, ['0', subject_id, relation, object_id, document_id] AS here FROM triples
+    UNION ALL SELECT object_id, subject_id, relation, document_id, 'reverse', ['1', subject_id, relation, object_id, document_id] FROM triples)"""
+    empty = "[]::STRUCT(f VARCHAR, r VARCHAR, t VARCHAR, d VARCHAR, w VARCHAR)[]"
+    sql = moves + f", f0 AS (SELECT {source} AS node, [{source}] AS nodes, {empty} AS hops, []::VARCHAR[] AS place)"
+    for n in range(1, depth + 1):
+        sql += f", s{n} AS (SELECT next, list_append(nodes, next) AS nodes, list_append(hops, {{'f': node, 'r': relation, 't': next, 'd': document_id, 'w': direction}}) AS hops, list_concat(place, here) AS place FROM f{n - 1} JOIN moves USING (node) WHERE next <> {source})"
+        sql += f", h{n} AS (SELECT {n} AS length, nodes, hops, place FROM s{n} WHERE next = {target})"
+        before = " UNION ALL ".join(f"SELECT node FROM f{i}" for i in range(n))
+        sql += f", f{n} AS (SELECT next AS node, arg_min(nodes, place) AS nodes, arg_min(hops, place) AS hops, min(place) AS place FROM s{n} WHERE next <> {target} AND next NOT IN ({before}) GROUP BY next)"
+    return sql + ", hits AS (" + " UNION ALL ".join(f"SELECT * FROM h{n}" for n in range(1, depth + 1)) + ") "
+
+
+@query("bfs_paths", G + _paths_sql(S_ID, "'organization:supplier_000000002'", 3) + "SELECT length, array_to_string(nodes, ' > ') AS nodes FROM hits")
 def bfs_paths(spark, d):
-    return search.paths(_sparse(spark, d), S_ID.strip("'"), "organization:supplier_000000002", 3).select("length", F.array_join("nodes", " > ").alias("nodes"))
+    return search.paths(_edges(spark, d), S_ID.strip("'"), "organization:supplier_000000002", 3).select("length", F.array_join("nodes", " > ").alias("nodes"))
+
 
+_INVERSE_SQL = "CASE r " + " ".join(f"WHEN '{r}' THEN '{p}'" for r, p in vocab.INVERSE_PHRASES.items()) + " ELSE 'reverse of ' || r END"
 
-@query("connection_steps")
+
+@query("connection_steps", G + _paths_sql(S_ID, C_ID, 3) + f"SELECT length, i::INTEGER AS step, f AS from_id, CASE w WHEN 'forward' THEN r ELSE {_INVERSE_SQL} END AS phrase, t AS to_id, d AS document_id, w AS direction FROM (SELECT length, unnest(hops, recursive := true), unnest(range(len(hops))) AS i FROM hits)")
 def connection_steps(spark, d):
-    return search.connection_steps(search.paths(_sparse(spark, d), S_ID.strip("'"), C_ID.strip("'"), 3)).select("length", "step", "from_id", "phrase", "to_id", "document_id", "direction")
+    return search.connection_steps(search.paths(_edges(spark, d), S_ID.strip("'"), C_ID.strip("'"), 3)).select("length", "step", "from_id", "phrase", "to_id", "document_id", "direction")
+
+
+@query("path_steps_of_answers", HOP2.replace("SELECT DISTINCT d.subject_id AS entity_id, d.subject AS answer, 0 AS plan_no", "SELECT answer, step, triple_id FROM (SELECT d.subject AS answer, arg_min([u.triple_id, d.triple_id], ['0', u.subject_id, 'uses', u.object_id, u.document_id, '1', d.subject_id, 'develops', d.object_id, d.document_id]) AS t").replace("WHERE d.relation = 'develops'", "WHERE d.relation = 'develops' GROUP BY d.subject_id, d.subject), LATERAL (SELECT unnest(t) AS triple_id, unnest([1, 2]) AS step)"))
+def path_steps_of_answers(spark, d):
+    e = _edges(spark, d)
+    plan = _parser(spark, d).plan(f"Who developed the product that {CUSTOMER} uses?")
+    return search.execution_steps(e, search.plan_union(e, plan)).select("answer", "step", "triple_id")
 
 
-@query("filter_graph_types", G + "SELECT triple_id FROM triples WHERE relation <> 'uses' AND subject_type IN ('ORGANIZATION', 'PRODUCT') AND object_type IN ('ORGANIZATION', 'PRODUCT')")
+@query("filter_graph_types", G + "SELECT triple_id FROM triples WHERE subject_type IN ('ORGANIZATION', 'PRODUCT') AND object_type IN ('ORGANIZATION', 'PRODUCT')")
 def filter_graph_types(spark, d):
-    _, e = explore.filter_graph(_triples(spark, d).where("relation <> 'uses'"), types=("ORGANIZATION", "PRODUCT"))
+    _, e = explore.filter_graph(_triples(spark, d), types=("ORGANIZATION", "PRODUCT"))
     return e.select("triple_id")
 
 
@@ -513,9 +540,9 @@ def doc_drilldown(spark, d):
     return explore.document_summary(_triples(spark, d))
 
 
-@query("evidence_resolutions", G + "SELECT triple_id, CASE WHEN coref_resolved THEN subject END AS resolved_to FROM triples WHERE relation IN ('uses', 'develops')")
+@query("evidence_resolutions", G + "SELECT triple_id, CASE WHEN coref_resolved THEN subject END AS resolved_to FROM triples")
 def evidence_resolutions(spark, d):
-    t = _triples(spark, d).where(F.col("relation").isin("uses", "develops")).withColumn("original_subject", F.when(F.col("coref_resolved"), "it").otherwise(F.col("subject")))
+    t = _triples(spark, d).withColumn("original_subject", F.when(F.col("coref_resolved"), "it").otherwise(F.col("subject")))
     return search.evidence(triples.edges(t)).select("triple_id", F.get("resolutions", F.lit(0))["to"].alias("resolved_to"))
 
 
@@ -524,11 +551,6 @@ def kpis(spark, d):
     return explore.kpis(_triples(spark, d))
 
 
-@query("synonyms", None)
-def synonyms(spark, d):
-    return spark.createDataFrame([(r, p) for r, ps in vocab.SYNONYMS.items() for p in ps], "relation string, phrase string")
-
-
 # -- extraction from rendered sentences ------------------------------------------------
 
 from quillgraph.operators import rules, shallow  # noqa: E402

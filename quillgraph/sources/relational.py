@@ -1,9 +1,7 @@
 """An entity-relation graph over the star-schema tables.
 
 Each foreign key or event pair is read as a relation candidate with full
-provenance. Candidates of a relation come from one branch of a union whose
-``relation`` is a literal, so a filter on the relation removes all other
-branches from the plan.
+provenance. ``quillgraph.sources.store`` keeps what is built from them.
 """
 
 from __future__ import annotations
@@ -15,6 +13,8 @@ from quillgraph.functions.text import entity_id
 
 #: Orders that two suppliers must share to count as partners.
 PARTNER_ORDERS = 30
+#: What the graph is read from.
+TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +35,9 @@ def _user(key: Column) -> tuple[Column, Column]:
     return entity_id(F.lit("PERSON"), label), label
 
 
-def _candidates(rows: DataFrame, relation: str, rule: str, subject, obj, document: Column, sentence_index: Column, seq: Column, confidence: float = 1.0) -> DataFrame:
+def _columns(relation: str, rule: str, subject, obj, document: Column, sentence_index: Column, seq: Column, confidence: float = 1.0) -> list[Column]:
     (sid, slabel, stype), (oid, olabel, otype) = subject, obj
-    return rows.select(
+    return [
         F.lit(relation).alias("relation"),
         sid.alias("subject_id"),
         slabel.alias("subject"),
@@ -53,7 +53,18 @@ def _candidates(rows: DataFrame, relation: str, rule: str, subject, obj, documen
         F.lit(confidence == 0.8).alias("inferred"),
         F.lit(rule).alias("rule_id"),
         seq.alias("seq"),
-    )
+    ]
+
+
+def _candidates(rows: DataFrame, *of) -> DataFrame:
+    return rows.select(*_columns(*of))
+
+
+def _both_of_a_line(sold: DataFrame, customer, part, supplier, order: Column, line: Column) -> DataFrame:
+    """``uses`` and ``customer_of`` of every order line, from one pass over the joined lines; a line without a known supplier has the first alone."""
+    uses = _columns("uses", "ORDER_LINE", customer, part, order, F.col("l_linenumber"), line, 0.9)
+    buys = _columns("customer_of", "ORDER_LINE", customer, supplier, order, F.col("l_linenumber"), line, 0.8)
+    return sold.select(F.inline(F.array(F.struct(*uses), F.struct(*buys)))).where("relation = 'uses' OR object_id IS NOT NULL")
 
 
 def candidates(spark, sf_dir: str) -> DataFrame:
@@ -71,7 +82,7 @@ def candidates(spark, sf_dir: str) -> DataFrame:
     line = F.format_string("%012d%012d", c("l_partkey"), c("l_suppkey"))
     items = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     named = items.join(t("orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey")).join(customer.select("c_custkey", "c_name"), c("o_custkey") == c("c_custkey"))
-    sold = named.join(supplier.select("s_suppkey", "s_name"), c("l_suppkey") == c("s_suppkey"))
+    sold = named.join(supplier.select("s_suppkey", "s_name"), c("l_suppkey") == c("s_suppkey"), "left")
     first = items.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("f"))
     made = first.select("l_partkey", "f.*").join(supplier.select("s_suppkey", "s_name"), c("l_suppkey") == c("s_suppkey"))
     pair = items.select("l_orderkey", "l_suppkey").distinct()
@@ -89,8 +100,7 @@ def candidates(spark, sf_dir: str) -> DataFrame:
         _candidates(nation.join(customer, c("n_nationkey") == c("c_nationkey")), "contains", "FK_CUSTOMER", nat, cus, doc("customer"), F.lit(0), none),
         _candidates(nation.join(supplier, c("n_nationkey") == c("s_nationkey")), "contains", "FK_SUPPLIER", nat, sup, doc("supplier"), F.lit(0), none),
         _candidates(made, "develops", "PRIMARY_SUPPLIER", sup, part, order, c("l_linenumber"), none),
-        _candidates(named, "uses", "ORDER_LINE", cus, part, order, c("l_linenumber"), line, 0.9),
-        _candidates(sold, "customer_of", "ORDER_LINE", cus, sup, order, c("l_linenumber"), line, 0.8),
+        _both_of_a_line(sold, cus, part, sup, order, line),
         _candidates(customer, "focuses_on", "SEGMENT", cus, seg, doc("customer"), F.lit(0), none),
         _candidates(pairs, "partners_with", "SHARED_ORDERS", (_org(c("x_name")), c("x_name"), "ORGANIZATION"), (_org(c("y_name")), c("y_name"), "ORGANIZATION"), order, F.lit(0), none),
         _candidates(both, "collaborates_with", "SAME_EVENT", (*_user(c("user_id")), "PERSON"), (*_user(c("other")), "PERSON"), F.concat(F.lit("event_"), c("event_id").cast("string")), F.lit(0), none),
