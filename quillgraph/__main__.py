@@ -8,7 +8,7 @@ import time
 from pyspark.sql import SparkSession
 
 from quillgraph.operators import triples
-from quillgraph.plans.catalog import extracted
+from quillgraph.operators.extraction import extracted
 from quillgraph.sources import artifacts, corpus, lexicon
 
 
@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     began = time.time()
     docs = corpus.checked(corpus.scan(spark, args.texts))
     lex = lexicon.load(spark, args.lexicon)
-    candidates, skipped = extracted(docs.select("document_id", "text"), lex)
+    candidates, skipped, resolutions = extracted(docs.select("document_id", "text"), lex)
     found = triples.build(candidates).persist()
     artifacts.write_bundle(found, triples.degrees(found), args.out)
     artifacts.write_triples_csv(found, f"{args.out}/triples_csv")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vocab
@@ -34,26 +34,55 @@ def words(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0))).alias("i", "text"))
 
 
-def phrase_mentions(docs: DataFrame, surfaces: DataFrame, longest: int = 6) -> DataFrame:
+def word_counts(surfaces: DataFrame, pattern: str) -> list[int]:
+    """How many words surfaces have: the distinct counts, which a lexicon has few of."""
+    n = F.size(F.regexp_extract_all("surface", F.lit(pattern), F.lit(0)))
+    return sorted(r["n"] for r in surfaces.select(n.alias("n")).where("n > 0").distinct().collect())
+
+
+def phrase_mentions(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
     """(document_id, start_char, end_char, text, surface, source) of declared surfaces, longest at each place.
 
     Surfaces that begin with an article are left out. Documents become word
-    runs with offsets, so the match is one equi-join on the lower-cased run.
+    runs with offsets, of the word counts that surfaces have, so the match is
+    one equi-join on the lower-cased run.
     """
-    pieces = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}#]+|[^\p{L}\p{N}#]+"), F.lit(0))
-    rows = docs.select("document_id", "text", pieces.alias("__p"))
-    starts = F.aggregate("__p", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    rows = rows.withColumn("__s", starts).select("document_id", "text", "__s", F.posexplode("__p").alias("k", "piece")).where(F.col("piece").rlike(r"^[\p{L}\p{N}#]"))
-    ends = F.filter(F.sequence(F.col("k") + 1, F.least(F.col("k") + 2 * longest - 1, F.size("__s") - 1), F.lit(2)), lambda e: e > F.col("k"))
-    rows = rows.select("document_id", F.get("__s", F.col("k")).alias("start_char"), F.explode(F.transform(ends, lambda e: F.get("__s", e))).alias("end_char"), "text")
-    own = F.substring(F.col("text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
-    rows = rows.select("document_id", "start_char", "end_char", own.alias("text")).withColumn("surface", surface_form(F.col("text")))
     known = surfaces.select("surface").where("NOT surface LIKE 'the %'").distinct()
+    sizes = word_counts(known, r"[\p{L}\p{N}#]+")
+    pieces = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}#]+|[^\p{L}\p{N}#]+"), F.lit(0))
+    rows = docs.select("document_id", pieces.alias("p"))
+    starts = F.aggregate("p", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
+    rows = rows.withColumn("s", starts).select("document_id", "s", "p", F.posexplode("p").alias("k", "piece")).where(F.col("piece").rlike(r"^[\p{L}\p{N}#]"))
+    spans = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.col("k") + 2 * n - 1 <= F.size("p"))
+    rows = rows.select("document_id", F.get("s", F.col("k")).alias("start_char"), F.explode(F.transform(spans, lambda n: F.struct(F.get("s", F.col("k") + 2 * n - 1).alias("end_char"), F.array_join(F.slice("p", F.col("k") + 1, 2 * n - 1), "").alias("text")))).alias("x"))
+    rows = rows.select("document_id", "start_char", "x.end_char", "x.text").withColumn("surface", surface_form(F.col("text")))
     hit = rows.join(known, "surface")
     top = hit.groupBy("document_id", "start_char").agg(F.max(F.struct("end_char", "text", "surface")).alias("m"))
     return top.select("document_id", "start_char", "m.end_char", "m.text", "m.surface", F.lit("ruler").alias("source"))
 
 
+def detected(ruler: DataFrame, tokens: DataFrame, chunks: DataFrame, surfaces: DataFrame, ner: DataFrame | None = None) -> DataFrame:
+    """(document_id, start_char, end_char, text, source, head) of all mentions: declared names, other named entities, definite common nouns and pronouns.
+
+    Spans that a recogniser gives (document_id, start_char, end_char, text,
+    label) count as declared where their text is; numbers and dates are none.
+    ``head`` is the word by which a reference is understood.
+    """
+    spans = ruler.select("document_id", "start_char", "end_char", "text", "source")
+    if ner is not None:
+        declared = surfaces.select(F.col("surface").alias("__s"), F.lit(True).alias("__known")).distinct()
+        seen = ner.where(is_entity_label(F.col("label"))).join(declared, surface_form(F.col("text")) == F.col("__s"), "left")
+        spans = spans.unionByName(seen.select("document_id", "start_char", "end_char", "text", F.when(F.col("__known"), "ruler").otherwise("ner").alias("source")))
+    word = lambda i: tokens.select("document_id", F.col("i").alias(i), F.col("pos").alias(f"{i}_pos"), F.col("dep").alias(f"{i}_dep"), F.lower("lemma").alias(f"{i}_lemma"))
+    nouns = chunks.join(word("root_index"), ["document_id", "root_index"]).join(word("start_i"), ["document_id", "start_i"])
+    nouns = nouns.where(definite_reference(F.col("start_i_pos"), F.col("start_i_lemma") == "the", F.col("root_index_dep"), F.col("root_index_lemma")))
+    nouns = nouns.select("document_id", "start_char", "end_char", "text", F.lit("common_noun_noun_chunk").alias("source"), F.col("root_index_lemma").alias("head"))
+    pronouns = tokens.where((F.col("pos") == "PRON") & F.lower("lemma").isin(*vocab.PRONOUN_LEMMAS))
+    pronouns = pronouns.select("document_id", "start_char", "end_char", "text", F.lit("pronoun").alias("source"), F.lower("lemma").alias("head"))
+    spans = spans.withColumn("head", F.lit(None).cast("string")).unionByName(nouns).unionByName(pronouns)
+    return without_overlaps(spans)
+
+
 def pronoun_mentions(docs: DataFrame) -> DataFrame:
     """(document_id, start_char, end_char, text, source) of pronouns."""
     pieces = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
@@ -76,25 +105,33 @@ def is_entity_label(ner_label: Column) -> Column:
 def without_overlaps(spans: DataFrame) -> DataFrame:
     """Greedy choice per document: by source, then longest, then first; a span stays if no chosen one overlaps it.
 
-    A fold over the spans of one document, in the JVM. ``spans`` has
-    document_id, start_char, end_char, text, source; the order of the output is
-    by start.
+    A window in the order of the text cuts a document into clumps of spans that
+    touch, so the choice is a fold over one clump, in the JVM. ``spans`` has
+    document_id, start_char, end_char, text, source, and head where it is known.
     """
+    head = [F.col("head")] if "head" in spans.columns else [F.lit(None).cast("string").alias("head")]
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")).cast("int")
-    item = F.struct(rank.alias("rank"), (F.col("start_char") - F.col("end_char")).alias("neg"), "start_char", "end_char", "text", "source")
-    listed = spans.groupBy("document_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    kind = "array<struct<rank:int,neg:int,start_char:int,end_char:int,text:string,source:string>>"
+    in_order = Window.partitionBy("document_id").orderBy("start_char", "end_char")
+    reached = F.max("end_char").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.select("document_id", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"), "text", "source", *head)
+    rows = rows.withColumn("new", F.coalesce(F.col("start_char") >= reached, F.lit(True)).cast("int"))
+    rows = rows.withColumn("clump", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct(rank.alias("rank"), (F.col("start_char") - F.col("end_char")).alias("neg"), "start_char", "end_char", "text", "source", "head")
+    listed = rows.groupBy("document_id", "clump").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    kind = "array<struct<rank:int,neg:int,start_char:int,end_char:int,text:string,source:string,head:string>>"
     kept = F.aggregate(
         F.col("all").cast(kind),
         F.array().cast(kind),
         lambda acc, x: F.when(F.exists(acc, lambda k: (k["start_char"] < x["end_char"]) & (x["start_char"] < k["end_char"])), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    rows = listed.select("document_id", F.explode(kept).alias("k"))
-    return rows.select("document_id", "k.start_char", "k.end_char", "k.text", "k.source")
+    found = listed.select("document_id", F.explode(kept).alias("k"))
+    return found.select("document_id", "k.start_char", "k.end_char", "k.text", "k.source", *(["k.head"] if "head" in spans.columns else []))
 
 
 def located(spans: DataFrame, sents: DataFrame) -> DataFrame:
-    """Spans with the sentence they begin in (0 where none does). Sentences of a document are few, so the range test follows an equi-join."""
-    s = sents.select(F.col("document_id").alias("__d"), "sentence_index", F.col("start_char").alias("__a"), F.col("end_char").alias("__b"))
-    hit = spans.join(s, (spans["document_id"] == s["__d"]) & (spans["start_char"] >= s["__a"]) & (spans["start_char"] < s["__b"]), "left")
-    return hit.withColumn("sentence_index", F.coalesce("sentence_index", F.lit(0))).drop("__d", "__a", "__b")
+    """Spans with the sentence they begin in (0 where none does): the last one that began before, by a window in the order of the text."""
+    s = sents.select("document_id", F.col("start_char").alias("__at"), F.struct(F.col("sentence_index").alias("n"), F.col("end_char").alias("end")).alias("__s"))
+    rows = spans.withColumn("__at", F.col("start_char")).unionByName(s, allowMissingColumns=True)
+    order = Window.partitionBy("document_id").orderBy("__at", F.col("__s").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__last", F.last("__s", ignorenulls=True).over(order)).where("__s IS NULL")
+    return rows.withColumn("sentence_index", F.coalesce(F.when(F.col("start_char") < F.col("__last.end"), F.col("__last.n")), F.lit(0))).drop("__at", "__s", "__last")

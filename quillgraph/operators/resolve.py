@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import vocab
 from quillgraph.functions.text import surface_form, without_determiner, without_possessive
+from quillgraph.operators.cut import cut
 
 
 def alias_index(lexicon: DataFrame) -> DataFrame:
@@ -68,16 +69,18 @@ def resolve_literal(rows: DataFrame, lexicon: DataFrame, text: str = "text") ->
     return out.withColumn("literal_id", F.coalesce("__ida", "__idb")).drop("__a", "__b", "__ida", "__idb")
 
 
-def longest_in_text(docs: DataFrame, lexicon: DataFrame, text: str = "text", longest: int = 8) -> DataFrame:
+def longest_in_text(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """(document_id, surface, entity_id): the longest lexicon surface that stands alone in a text; of several as long, the first in the alphabet.
 
-    Texts are cut into word runs of up to ``longest`` words which meet the
-    surfaces in an equi-join, so texts and lexicon never meet pairwise.
+    Texts are cut into word runs, of the word counts that surfaces have, which
+    meet the surfaces in an equi-join, so texts and lexicon never meet pairwise.
     """
-    words = F.filter(F.split(surface_form(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: F.array_join(F.slice("__w", i + 1, n), " ")))))
-    rows = docs.select("document_id", words.alias("__w")).where(F.size("__w") > 0).select("document_id", F.explode(runs).alias("run"))
-    index = alias_index(lexicon).withColumn("run", F.array_join(F.filter(F.split("surface", r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "))
+    split = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    index = cut(alias_index(lexicon).withColumn("run", F.array_join(split("surface"), " ")))
+    sizes = sorted(r["n"] for r in index.select(F.size(F.split("run", " ")).alias("n")).distinct().collect())  # a lexicon has few
+    counts = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size("__w"))
+    runs = F.array_distinct(F.flatten(F.transform(counts, lambda n: F.transform(F.sequence(F.lit(0), F.size("__w") - n), lambda i: F.array_join(F.slice("__w", i + 1, n), " ")))))
+    rows = docs.select("document_id", split(surface_form(F.col(text))).alias("__w")).where(F.size("__w") > 0).select("document_id", F.explode(runs).alias("run"))
     best = F.min(F.struct((-F.length("surface")).alias("l"), "surface", "entity_id"))
     return rows.join(index, "run").groupBy("document_id").agg(best.alias("m")).select("document_id", "m.surface", "m.entity_id")
 

@@ -21,6 +21,7 @@ from quillgraph.operators.cut import cut
 _LEMMAS = {lemma for _, _, lemmas, _, _ in vocab.RULES for lemma in lemmas} | set(vocab.REPORTING_VERBS)
 _BE = {"is", "are", "was", "were", "be", "been"}
 _DETERMINERS = {"the", "a", "an", "its", "their", "his", "her", "this", "that"}
+_POSSESSIVES = {"its", "their", "his", "her"}
 _PREPOSITIONS = {p for _, _, _, preps, _ in vocab.RULES for p in preps} | {"of", "for", "from", "to"}
 _IRREGULAR = {"built": "build", "led": "lead", "said": "say", "told": "tell", "wrote": "write", "thought": "think"}
 _TOKEN = re.compile(r"'s\b|[^\W_]+(?:[#_-][^\W_]+)*|[^\w\s]")
@@ -41,6 +42,13 @@ def lemma(word: str) -> str:
     return next((s for s in stems if s in _LEMMAS), w)
 
 
+def _modifier(word: str) -> tuple[str, str]:
+    """Part of speech and dependency of a word before the head of a nominal."""
+    if word in _POSSESSIVES:
+        return "PRON", "poss"
+    return ("DET", "det") if word in _DETERMINERS else ("NOUN", "compound")
+
+
 def parse(text: str, spans: list[tuple[int, int]]) -> tuple[list, list, list]:
     """(tokens, chunks, sentences). ``spans`` are known names; each is one nominal."""
     tokens, chunks, sentences, n = [], [], [], 0
@@ -84,8 +92,8 @@ def parse(text: str, spans: list[tuple[int, int]]) -> tuple[list, list, list]:
                     dep, head = ("nsubjpass" if passive else "nsubj"), verb
                 else:
                     dep, head = "dobj", root if verb is None else verb
-                rows += [("DET" if words[x][0].lower() in _DETERMINERS else "NOUN", "det" if words[x][0].lower() in _DETERMINERS else "compound", root) for x in range(k, root)]
-                rows.append(("PROPN" if name else "NOUN", dep, head))
+                rows += [(*_modifier(words[x][0].lower()), root) for x in range(k, root)]
+                rows.append(("PROPN" if name else "PRON" if words[root][0].lower() in vocab.PRONOUN_LEMMAS else "NOUN", dep, head))
                 nominal.append((k, end, root))
                 k = end
                 continue

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vocab
 from quillgraph.functions.text import surface_form, without_determiner
 from quillgraph.operators.resolve import literal_index
+from quillgraph.operators.spans import binned
 
 
 def ancestors(tokens: DataFrame) -> DataFrame:
@@ -70,9 +71,9 @@ def subjects(tokens: DataFrame) -> DataFrame:
 
 def _resolved(spans: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Spans with the resolution of the same span, else of the one that shares most characters; the first of several."""
-    r = resolutions.select(F.col("document_id").alias("__d"), F.col("start_char").alias("__a"), F.col("end_char").alias("__b"), "mention", "entity_id", "label", "is_anaphoric")
+    r = binned(resolutions).select(F.col("document_id").alias("__d"), F.col("bin").alias("__bin"), F.col("start_char").alias("__a"), F.col("end_char").alias("__b"), "mention", "entity_id", "label", "is_anaphoric")
     shared = F.least("end_char", "__b") - F.greatest("start_char", "__a")
-    hit = spans.join(r, (F.col("document_id") == F.col("__d")) & (F.col("__a") < F.col("end_char")) & (F.col("start_char") < F.col("__b")))
+    hit = binned(spans).join(r, (F.col("document_id") == F.col("__d")) & (F.col("bin") == F.col("__bin")) & (F.col("__a") < F.col("end_char")) & (F.col("start_char") < F.col("__b")))
     rank = F.struct((~((F.col("__a") == F.col("start_char")) & (F.col("__b") == F.col("end_char")))).cast("int").alias("x"), (-shared).alias("s"), F.col("__a").alias("a"))
     keys = ["document_id", "i"]
     return hit.groupBy(*keys).agg(F.min_by(F.struct("entity_id", "label", "mention", "is_anaphoric"), rank).alias("m")).select(*keys, "m.*").where("entity_id IS NOT NULL")
@@ -86,7 +87,8 @@ def arguments(tokens: DataFrame, chunks: DataFrame, resolutions: DataFrame, lexi
     text is; each is a struct (entity_id, label, type, surface, is_anaphoric).
     """
     c = chunks.select("document_id", "start_i", "end_i", "root_index", "start_char", "end_char", F.col("text").alias("nominal"))
-    inside = tokens.select("document_id", "i").join(c, "document_id").where("root_index = i OR (start_i <= i AND i < end_i)")
+    covered = F.array_union(F.filter(F.sequence("start_i", "end_i"), lambda i: i < F.col("end_i")), F.array("root_index"))
+    inside = tokens.select("document_id", "i").join(c.withColumn("i", F.explode(covered)), ["document_id", "i"])
     spans = inside.groupBy("document_id", "i").agg(F.min(F.struct("start_i", "start_char", "end_char", "nominal")).alias("m")).select("document_id", "i", "m.start_char", "m.end_char", "m.nominal")
     kinds = lexicon.select("entity_id", "type", F.col("label").alias("__label"))
 

@@ -78,14 +78,10 @@ def nodes(triples: DataFrame, stats: DataFrame, lexicon: DataFrame | None = None
     """Entities with an edge, with mention counts and (where a lexicon is given) aliases."""
     out = degrees(triples).join(stats, "entity_id", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0)))
     if lexicon is not None:
-        out = out.join(F.broadcast(lexicon.select("entity_id", "aliases")) if _small(lexicon) else lexicon.select("entity_id", "aliases"), "entity_id", "left")
+        out = out.join(lexicon.select("entity_id", "aliases"), "entity_id", "left")
     return out
 
 
-def _small(lexicon: DataFrame, rows: int = 100_000) -> bool:
-    return lexicon.limit(rows + 1).count() <= rows
-
-
 def mention_stats(resolutions: DataFrame) -> DataFrame:
     """Resolved mentions and documents of each entity."""
     known = resolutions.where("entity_id IS NOT NULL")
