@@ -22,9 +22,12 @@ work is on classes. Links are found in two steps, neither of which loses one:
    threshold. A subtree whose sets are all in the probe's component already is
    left too, so a group of many copies costs no square of its size.
 
-A block of more than ``BLOCK`` bytes of text is cut into sub-blocks, and each
-pair of sub-blocks is one task; so no task holds more than two of them (or two
-documents). Duplicate paths inside a task are dropped before they are dealt.
+A block of more than ``BLOCK`` bytes of text is cut by set size into ranges whose
+ends are as far apart as similar sets can be, so only a range and the next one
+meet; a range that is still larger is cut into sub-blocks. Each pair of
+sub-blocks is one group, dealt by a key of its own, and holds two sub-blocks (or
+two documents) at most. Duplicate paths inside a task are dropped before they
+are dealt.
 
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing, not even its like; fewer than n words are one shingle; a
@@ -34,12 +37,13 @@ null id links but is never a component's id; repeated rows keep a row each.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import wordhash
@@ -238,19 +242,19 @@ class PrefixTree:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, th, n_shingles, cid) per row of ``docs`` (doc_id, text); ``cid`` names the set and is null for an empty one."""
+    """(doc_id, th, size, n_shingles, cid) per row of ``docs`` (doc_id, text): ``size`` in bytes; ``cid`` names the set and is null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
             sizes, ids = [], []
-            for s in shingle_sets(b.column(2).to_pylist(), n):
+            for s in shingle_sets(b.column(3).to_pylist(), n):
                 sizes.append(len(s))
                 ids.append(set_digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "th", "n_shingles", "cid"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "th", "size", "n_shingles", "cid"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, n_shingles long, cid binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    return rows.mapInArrow(run, "doc_id long, th long, size long, n_shingles long, cid binary")
 
 
 def leading_paths(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -299,17 +303,11 @@ def blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): classes that are linked, enough of them to connect each component. ``known`` is ``classes(docs)``."""
     member = blocks(docs, n, percent).select(F.col("v").alias("cid"), F.col("label").alias("block"))
-    heads = known.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("head"))
-    chosen = member.join(heads, "cid").select("cid", "block", F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("head_th"))
+    heads = known.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "size", "n_shingles")).alias("head"))
+    chosen = written(member.join(heads, "cid").select("cid", "block", "head.*", _range("head.n_shingles", percent).alias("c")), "members")
+    dealt = written(_dealt(chosen).withColumnsRenamed({"doc_id": "head_id", "th": "head_th"}), "dealt")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    texts = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["head_id"]) & (texts["th"] == chosen["head_th"])).select("cid", "block", "text")
-    texts = written(texts, "blocks")
-    weight = texts.groupBy("block").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK).cast("int").alias("k"))
-    texts = texts.join(weight, "block").withColumn("i", F.pmod(F.xxhash64("cid"), "k").cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
-    # a block that is not cut is the pair (0, 0); a pair of sub-blocks also finds the links inside both, so (i, i) is left out where there are others
-    pairs = F.filter(others, lambda p: (p["lo"] != p["hi"]) | (F.col("k") == 1))
-    dealt = texts.select("block", "cid", "text", F.explode(pairs).alias("p")).select("block", "p.lo", "p.hi", "cid", "text")
+    texts = texts.join(dealt, texts["doc_id"].eqNullSafe(dealt["head_id"]) & (texts["th"] == dealt["head_th"])).select("block", "low", "high", "cid", "text")
 
     def join(group: pa.Table) -> pa.Table:
         tree = PrefixTree(percent)
@@ -322,7 +320,36 @@ def links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
         found = [(ids[keep[tree.find(i)]], ids[keep[i]]) for i in range(len(keep)) if tree.find(i) != i]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return dealt.groupBy("block", "lo", "hi").applyInArrow(join, "a binary, b binary")
+    return texts.groupBy("block", "low", "high").applyInArrow(join, "a binary, b binary")
+
+
+def _range(size: str, percent: int) -> Column:
+    """Number of the range of set sizes; sets two ranges apart are too unequal to be similar."""
+    return F.floor(F.ln(F.col(size)) / (math.log(100 / percent) * 1.001)).cast("int")
+
+
+def _dealt(chosen: DataFrame) -> DataFrame:
+    """``chosen`` (block, c, cid, size, ...) x the pairs (low, high) of sub-blocks that its classes take part in.
+
+    A sub-block is named by its range and its number there. A pair also finds
+    the links inside both, so a sub-block is paired with itself only where it
+    has no other partner.
+    """
+    ranges = chosen.groupBy("block", "c").agg(F.sum("size").alias("size"))
+    cut = ranges.groupBy("block").agg(F.sum("size").alias("whole"), F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("size") / BLOCK).cast("int").alias("k")))).alias("parts"))
+    cut = written(cut.where(F.col("whole") > BLOCK).select(F.col("block").alias("large"), "parts"), "large-blocks")  # a row has a range per factor of 100 / percent in the set sizes
+    rows = chosen.join(cut, chosen["block"] == cut["large"], "left")
+    parts = lambda c: F.greatest(F.coalesce(F.try_element_at("parts", c), F.lit(0)), F.lit(0))
+    rows = rows.withColumns({"k": parts(F.col("c")), "above": parts(F.col("c") + 1), "below": parts(F.col("c") - 1)}).withColumn("i", F.pmod(F.xxhash64("cid"), F.greatest("k", F.lit(1))).cast("int"))
+    name = lambda c, i: F.struct(c.alias("c"), i.alias("i"))
+    pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda j: j < n)
+    me = name(F.col("c"), F.col("i"))
+    own = F.transform(F.filter(upto(F.col("k")), lambda j: (j != F.col("i")) | ((F.col("k") == 1) & (F.col("above") + F.col("below") == 0))), lambda j: pair(name(F.col("c"), F.least("i", j)), name(F.col("c"), F.greatest("i", j))))
+    up = F.transform(upto(F.col("above")), lambda j: pair(me, name(F.col("c") + 1, j)))
+    down = F.transform(upto(F.col("below")), lambda j: pair(name(F.col("c") - 1, j), me))
+    whole = F.array(pair(name(F.lit(-1), F.lit(0)), name(F.lit(-1), F.lit(0))))
+    return rows.withColumn("p", F.explode(F.when(F.col("large").isNull(), whole).otherwise(F.concat(own, up, down)))).select("block", "cid", "doc_id", "th", "p.low", "p.high")
 
 
 def similar_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -333,9 +360,12 @@ def similar_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = written(classes(docs, n), "classes")
     labels = components(links(docs, known, n, percent)).select(F.col("v").alias("cid"), "label")
-    rows = known.join(labels, "cid", "left").withColumn("group", F.coalesce("label", "cid"))
-    least = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component"))
-    out = rows.join(least, "group", "left")
+    # by class, not by row; written, so that a large class or component is split by the joins that follow
+    least = known.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    least = written(least.join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("group"), "least"), "groups")
+    smallest = written(least.groupBy("group").agg(F.min("least").alias("component")), "smallest")
+    named = written(least.join(smallest, "group").select(F.col("cid").alias("of"), "group", "component"), "named")
+    out = known.join(named, known["cid"] == named["of"], "left")
     return out.select("doc_id", "th", "n_shingles", "group", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
