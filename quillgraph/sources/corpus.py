@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-class CorpusError(Exception):
-    """The folder is missing, or nothing in it has text."""
+from quillgraph.errors import CorpusError
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:

@@ -7,15 +7,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.errors import ConfigurationError
 from quillgraph.functions import vocab
 
 SCHEMA = "entity_id string, label string, type string, aliases array<string>, anaphors array<string>, description string, decl_ord long"
 
 
-class ConfigurationError(Exception):
-    """A lexicon that cannot be used as it is."""
-
-
 def slug(text: str) -> str:
     x = re.sub(r"'s$", "", text.strip(), flags=re.IGNORECASE).lower()
     parts = [p for p in re.sub("[^a-z0-9]+", "_", x).split("_") if p]

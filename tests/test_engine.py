@@ -69,6 +69,36 @@ def test_plans_put_the_constant_first(engine):
     assert engine.parser.plan("Who founded SpaceX?") is None
 
 
+def test_answers_are_explained(engine):
+    import json
+
+    found = engine.ask("Who founded the company that developed the product that NASA uses?").to_dict()
+    assert found["matched_triples"] == [["NASA", "uses", "Starship"], ["SpaceX", "develops", "Starship"], ["Elon Musk", "founded", "SpaceX"]]
+    assert [s["step"] for s in found["execution_steps"]] == [1, 2, 3] and found["execution_steps"][0]["document_id"] == "doc_07" and found["execution_steps"][2]["sentence"] == "Elon Musk founded SpaceX."
+    assert found["bindings"] == [{"?product_1": ident("Starship"), "?company_2": ident("SpaceX"), "?answer": ident("Elon Musk")}]
+    assert found["query_plan"][0] == {"subject": ident("NASA"), "relation": "uses", "object": "?product_1", "subject_type": None, "object_type": "PRODUCT"}
+    assert len(found["trace"]) == 4 and found["interpretation"]["intent"] == "relation_lookup" and json.dumps(found)
+    backwards = engine.ask("What does the organization that works with NASA develop?")
+    assert backwards.bindings == [{"?organization_1": ident("SpaceX"), "?answer": ident("Starship")}] and backwards.matched[0] == ("NASA", "partners_with", "SpaceX")
+    single = engine.ask("Who founded SpaceX?").to_dict()
+    assert single["matched_triples"] == [["SpaceX", "founded", "Elon Musk"]] and single["interpretation"]["direction"] == "incoming"
+
+
+def test_example_questions_are_read(engine):
+    from quillgraph.plans import examples
+
+    read = [engine.parser.parse(q) for q in examples.QUESTIONS]
+    assert all(p.intent == "relation_lookup" for p in read) and len(examples.EXAMPLES) == 15
+    assert [len(engine.parser.plan(q).patterns) for q in examples.MULTI_HOP[:2]] == [2, 2]
+    nested = engine.parser.plan("Who works on the product developed by the company founded by Elon Musk?")
+    assert [p.show() for p in nested.patterns] == [f"{ident('Elon Musk')} --founded--> ?company_1", "?company_1 --develops--> ?product_2", "?answer --works_on--> ?product_2"]
+
+
+def test_questions_that_are_not_understood_say_what_to_try(engine):
+    assert engine.ask("Who is there?").message.endswith('"Aether Analytics", "OrionEdge" or "Project Aurora".')
+    assert engine.ask("NASA?").message.startswith('I recognised "NASA" but not the relation. Try phrasing like')
+
+
 def test_paths_go_both_ways(engine):
     found = engine.ask("How is Quantum Forge connected to Project Aurora?")
     assert found.paths and all(p[0]["direction"] == "reverse" and p[0]["from"] == "Quantum Forge" for p in found.paths)

@@ -113,3 +113,79 @@ def test_command_line_builds_a_graph(spark, tmp_path, capsys):
     assert "triples 2" in capsys.readouterr().out
     got = {(r["subject"], r["relation"], r["object"], r["confidence"]) for r in artifacts.read_triples_csv(spark, str(tmp_path / "out" / "triples_csv")).collect()}
     assert got == {("Helios Bank", "uses", "OrionEdge", 1.0), ("Helios Bank", "leads", "Project Aurora", 0.9)}
+    entities = json.loads((tmp_path / "out" / "entities.json").read_text())
+    assert [e["id"] for e in entities["entities"]] == ["organization:helios_bank", "product:orionedge", "project:project_aurora"]
+    assert entities["alias_index"]["orionedge"] == ["product:orionedge"] and {m["text"] for m in entities["mention_inventory"]["organization:helios_bank"]} == {"Helios Bank", "The company"}
+    report = json.loads((tmp_path / "out" / "pipeline_report.json").read_text())
+    assert report["counts"]["triples"] == 2 and report["relation_histogram"] == {"leads": 1, "uses": 1} and report["unresolved_mentions"] == [] and report["stages"]
+    graph = json.loads((tmp_path / "out" / "graph.json").read_text())
+    assert graph["graph"] == {"node_count": 3, "edge_count": 2} and len(graph["links"]) == 2
+    main(["ask", str(tmp_path / "out"), "What does Helios Bank use?"])
+    assert "- OrionEdge" in capsys.readouterr().out
+    main(["doctor"])
+    assert "pyspark: found" in capsys.readouterr().out
+
+
+def test_settings_are_checked():
+    from quillgraph.config import Config
+    from quillgraph.errors import ConfigurationError
+
+    assert Config.from_env({}) == Config() and Config.from_env({"QUILL_MAX_PATH_LENGTH": "5", "QUILL_OPTIONAL_RULES": "off"}).max_path_length == 5
+    for bad in ({"QUILL_MAX_PATH_LENGTH": "0"}, {"QUILL_MAX_PATH_LENGTH": "x"}, {"QUILL_OPTIONAL_RULES": "maybe"}):
+        with pytest.raises(ConfigurationError):
+            Config.from_env(bad)
+
+
+def test_page_needs_no_network(spark):
+    from quillgraph.plans import page
+
+    nodes = spark.createDataFrame([("a:x", "X <b>", "PERSON", 20.0, 2), ("a:y", "Y </script>", "GHOST", 20.0, 1)], "entity_id string, label string, type string, size double, degree int")
+    edges = spark.createDataFrame([("a:x", "a:y", "leads", "d1", "see http://x.y"), ("a:x", "a:y", "leads", "d2", "again")], "src string, dst string, relation string, document_id string, sentence string")
+    got = page.build_html(nodes, edges)
+    assert got.count('"relation": "leads"') == 1 and "X &lt;b&gt;" in got and got.count("</script>") == 1 and page.colour("ghost") == page.OTHER
+    assert page.external('<script src="https://a.b/c.js">') and not page.external("<p>http://a.b</p>")
+
+
+def test_mentions_and_resolutions_of_a_document(spark):
+    from quillgraph.operators.extraction import Backend, extracted, per_document
+
+    lex = from_records(spark, [{"label": "Helios Bank", "type": "ORGANIZATION", "anaphors": ["the bank"]}, {"label": "Orion Edge Data Mining And Fraud Detection Platform", "type": "PRODUCT"}, {"label": "Quantum Forge", "type": "ORGANIZATION"}])
+    text = "Quantum Forge uses Orion Edge Data Mining And Fraud Detection Platform. The bank leads Quantum Forge. They develop GPU. It improves the platform."
+    docs = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "document_id string, text string")
+
+    def ner(rows):
+        return rows.where("document_id = 'd'").selectExpr("document_id", "cast(instr(text, 'GPU') - 1 as int) start_char", "cast(instr(text, 'GPU') + 2 as int) end_char", "'GPU' text", "'ORG' label")
+
+    def broken():
+        raise RuntimeError("no model")
+
+    def clusters(rows):
+        return per_document(rows, "broken", broken, lambda m, t: [], "start_char int, end_char int, surfaces array<string>", required=False)
+
+    candidates, _, resolutions = extracted(docs, lex, Backend(ner=ner, clusters=clusters))
+    got = {r["mention"]: (r["entity_id"], r["source"]) for r in resolutions.collect()}
+    product = "product:orion_edge_data_mining_and_fraud_detection_platform"
+    assert got["The bank"] == ("organization:helios_bank", "ALIAS") and got["They"][1] == "ANTECEDENT" and got["GPU"] == (None, "NONE")
+    assert got["Orion Edge Data Mining And Fraud Detection Platform"] == (product, "ALIAS") and got["the platform"] == (product, "ANTECEDENT")
+    assert ("organization:helios_bank", "leads", "organization:quantum_forge", 0.9) in {(r["subject_id"], r["relation"], r["object_id"], r["confidence"]) for r in candidates.collect()}
+
+
+def test_nearest_antecedent_matches_brute_force(spark):
+    import random
+
+    from quillgraph.functions import vocab
+
+    rng = random.Random(3)
+    heads = ["he", "company", "they", "it", "gadget", "their"]
+    named = [(f"d{rng.randrange(4)}", rng.randrange(60), rng.randrange(4), f"e{i}", rng.choice(vocab.ENTITY_TYPES), "t") for i in range(120)]
+    refs = list({(f"d{rng.randrange(4)}", s): (s, rng.randrange(4), rng.choice(heads)) for s in rng.choices(range(70), k=90)}.items())
+    refs = [(d, s, n, h) for (d, _), (s, n, h) in refs]
+
+    def best(d, s, n, h):
+        types = vocab.EXPECTED_TYPES.get(h, vocab.ENTITY_TYPES)
+        fits = [(0 if n == m else 1, s - a, e) for x, a, m, e, t, _ in named if x == d and a < s and t in types and not (h in vocab.PLURAL_PRONOUNS and t == "PERSON")]
+        return min(fits)[2] if fits else None
+
+    got = coref.nearest_antecedent(spark.createDataFrame(refs, "document_id string, start_char int, sentence_index int, head string"), spark.createDataFrame(named, "document_id string, start_char int, sentence_index int, entity_id string, entity_type string, text string"))
+    want = {(d, s): e for d, s, n, h in refs if (e := best(d, s, n, h))}
+    assert {(r["document_id"], r["start_char"]): r["entity_id"] for r in got.collect()} == want
