@@ -1,28 +1,30 @@
-"""Substring deduplication by phrases and windows relative to earlier documents.
+"""Substring deduplication by relative Lempel-Ziv parsing.
 
-A window is ``WINDOW`` consecutive words. Every document is parsed into phrases
-relative to all documents with smaller ids; the words of phrases and of single
-windows that are found there are the duplicate spans. This stands in for a
-relative Lempel-Ziv parse: no factor is extended against a reference text and
-none has its length tested. A repeat is a union of repeated windows, so looking
-up every window, most of them by the phrase, finds the same words.
+A window is ``WINDOW`` consecutive words. Every document is parsed into factors
+relative to all documents with smaller ids: a factor is a run of its words
+with the reference document that has the same run and the place there. Factors
+of a window or more are the duplicate spans.
 
 * Phrases. In each window the run of ``ANCHOR`` words with the least hash is
   its anchor (the leftmost of several). Consecutive windows with one anchor are
   a phrase. Equal windows have equal anchors wherever they stand, so a window
   can only be found under its own anchor.
-* Reference blocks. The index is dealt by anchor: a block holds, for its share
-  of the anchors, every phrase of every document with the smallest id that has
-  it. A phrase with a smaller id than the document's own is a match.
-* Boundaries. Where a repeat ends, a phrase differs from all earlier
-  ones, yet single windows of it may still be repeats. If its anchor is known
-  with other phrases, its windows and theirs (one copy of each phrase) are
-  looked up one by one in the same way.
+* Reference blocks. No task holds all references; the index is dealt by
+  anchor. A block has, for its share of the anchors, every phrase of every
+  document with the place at which the smallest id has it. A phrase that a
+  smaller id has is copied from there whole.
+* Factors. A document's phrases overlap, so the copies of neighbouring ones are
+  one factor as long as they go on at the next place of the same reference. A
+  factor is extended greedily, and the next one begins where it ends.
+* Boundaries. Where a repeat ends, a phrase differs from all earlier ones, yet
+  single windows of it may still be repeats. If its anchor is known with other
+  phrases, its windows and theirs (one copy of each phrase) are looked up one by
+  one in the same way, which extends factors to their true ends.
 
 Tasks first reduce what they deal: of equal phrases only the one with the
-smallest id goes to the index, the others are matches already. So a passage
-that a third of all documents share is a row per task, not per document. Tasks
-of the index read their rows in order and keep one of them.
+smallest id goes to the index, the others have their reference already. So a
+passage that a third of all documents share is a row per task, not per
+document. Tasks of the index read their rows in order and keep one of them.
 
 Phrases are compared by two 64-bit hashes, of anchor and phrase, which combine
 the 64-bit hashes of their words in different ways.
@@ -40,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,27 +98,28 @@ class Parsed:
         return self._span(self.starts[some], self.starts[some] + WINDOW).view(np.int64)
 
 
-def _reduced(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (a, s, doc) rows in order, and whether an equal (a, s) has a smaller doc."""
-    a, s, doc = (np.concatenate(k) for k in zip(*keys, strict=True))
-    by = np.lexsort((doc, s, a))
-    a, s, doc = a[by], s[by], doc[by]
+def _reduced(keys: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Distinct (a, s, doc) rows in order, each with its reference (the place of the smallest doc with an equal (a, s)), and whether that is another document."""
+    a, s, doc, pos = (np.concatenate(k) for k in zip(*keys, strict=True))
+    by = np.lexsort((pos, doc, s, a))
+    a, s, doc, pos = a[by], s[by], doc[by], pos[by]
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-    again = np.zeros(len(a), bool)
-    again[1:] = ~first[1:] & (doc[1:] == doc[:-1])
-    least = doc[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(a) else doc
-    keep = ~again
-    return a[keep], s[keep], doc[keep], (least < doc)[keep]
+    keep = first.copy()
+    keep[1:] |= doc[1:] != doc[:-1]
+    head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(a) else np.zeros(0, np.int64)
+    found = doc[head] < doc
+    at, place = np.where(found, doc[head], doc), np.where(found, pos[head], pos)
+    return tuple(x[keep] for x in (a, s, doc, at, place, found))
 
 
 def _dealt(make, by_anchor: bool):
-    """(deal, a, s, doc, found) from a function that yields (a, s, doc) arrays; ``deal`` is the anchor or the key, and spreads what needs no look-up."""
+    """Rows of ``_DEALT`` from a function that yields (a, s, doc, pos) arrays; ``deal`` is the anchor or the key, and spreads what needs no look-up."""
 
     def out(keys: list) -> pa.RecordBatch:
-        a, s, doc, found = _reduced(keys)
+        a, s, doc, at, place, found = _reduced(keys)
         deal = np.where(found, wordhash.mix(doc.view(np.uint64) + s.view(np.uint64)).view(np.int64), a if by_anchor else s)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, a, s, doc, found)], ["deal", "a", "s", "doc", "found"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, a, s, doc, at, place, found)], ["deal", "a", "s", "doc", "ref", "place", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -132,20 +136,21 @@ def _dealt(make, by_anchor: bool):
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, s, found) of rows sorted by (a, s, doc): keys with a smaller id (found), and the first of each key whose anchor has several (to be asked for).
+    """(doc, s, ref, place, found) of rows sorted by (a, s, doc): keys that a smaller id has, with their reference, and the first of each key whose anchor has several (not found, to be asked for).
 
     Rows stream by: what is kept is the last row and the head of its key, so a
     common anchor needs no more memory than any other.
     """
+    names = ["doc", "s", "ref", "place", "found"]
     last: tuple[int, int, int] | None = None  # a, s, doc
-    head = 0  # the smallest id of the last row's key
+    head = (0, 0)  # the smallest id of the last row's key, and the place there
     pending: tuple[int, int] | None = None  # doc, s of a head whose anchor has had no other key so far
     for b in batches:
-        found = b.column("found").to_numpy(zero_copy_only=False)
-        a, s, doc = (np.asarray(b.column(n)) for n in ("a", "s", "doc"))
-        docs, keys = [doc[found]], [s[found]]
-        a, s, doc = a[~found], s[~found], doc[~found]
-        asks: list[tuple[np.ndarray, np.ndarray]] = []
+        known = b.column("found").to_numpy(zero_copy_only=False)
+        columns = {n: np.asarray(b.column(n)) for n in ("a", "s", "doc", "ref", "place")}
+        hits = [[columns[n][known] for n in names[:4]]]
+        a, s, doc, _, place = (columns[n][~known] for n in columns)
+        asks: list[tuple] = []
         if len(a):
             before = [np.append(x[:1] if last is None else last[i], x[:-1]) for i, x in enumerate((a, s, doc))]
             other_a, other_s, other_doc = (x != y for x, y in zip((a, s, doc), before, strict=True))
@@ -153,35 +158,34 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other_a[0] = True
             heads = other_a | other_s
             at = np.maximum.accumulate(np.where(heads, np.arange(len(a)), -1))
-            least = np.where(at < 0, head, doc[at])
+            least, there = np.where(at < 0, head[0], doc[at]), np.where(at < 0, head[1], place[at])
             hit = ~heads & other_doc & (doc > least)
-            docs.append(doc[hit])
-            keys.append(s[hit])
+            hits.append([doc[hit], s[hit], least[hit], there[hit]])
             where = np.flatnonzero(heads)
             if len(where):
                 same = np.zeros(len(where) + 1, bool)  # has the anchor of the head before
                 same[1:-1] = a[where[1:]] == a[where[:-1]]
-                same[0] = last is not None and not other_a[where[0]] and a[where[0]] == last[0]
+                same[0] = last is not None and a[where[0]] == last[0]
                 if same[0] and pending:
-                    asks.append((np.array(pending[:1]), np.array(pending[1:])))
+                    asks.append(tuple(np.array([x], np.int64) for x in pending))
                 several = same[:-1] | same[1:]
                 asks.append((doc[where[several]], s[where[several]]))
                 pending = None if several[-1] else (int(doc[where[-1]]), int(s[where[-1]]))
-            head = int(least[-1])
+            head = int(least[-1]), int(there[-1])
             last = int(a[-1]), int(s[-1]), int(doc[-1])
-        n = sum(map(len, docs))
-        docs += [x for x, _ in asks]
-        keys += [x for _, x in asks]
-        docs, keys = np.concatenate(docs), np.concatenate(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.arange(len(docs)) < n)], ["doc", "s", "found"])
+        n = sum(len(x[0]) for x in hits)
+        rows = [np.concatenate([x[i] for x in (*hits, *asks)]) for i in range(2)]
+        m = len(rows[0]) - n
+        rows += [np.concatenate([*(x[i] for x in hits), np.zeros(m, np.int64)]) for i in (2, 3)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(np.arange(n + m) < n)], names)
 
 
-_DEALT = "deal long, a long, s long, doc long, found boolean"
+_DEALT = "deal long, a long, s long, doc long, ref long, place long, found boolean"
 
 
 def _index(rows: DataFrame, make, by_anchor: bool) -> DataFrame:
     made = rows.mapInArrow(_dealt(make, by_anchor), _DEALT)
-    return made.repartition(partitions(rows), "deal").sortWithinPartitions("a", "s", "doc").mapInArrow(_looked_up, "doc long, s long, found boolean")
+    return made.repartition(partitions(rows), "deal").sortWithinPartitions("a", "s", "doc").mapInArrow(_looked_up, "doc long, s long, ref long, place long, found boolean")
 
 
 def _parsed(ids, texts) -> Iterator[tuple[int, Parsed, np.ndarray]]:
@@ -194,72 +198,105 @@ def _parsed(ids, texts) -> Iterator[tuple[int, Parsed, np.ndarray]]:
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for _, p, ids in _parsed(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield p.anchor, p.phrase, ids[p.owner] if len(p.owner) else ids[:0]
+            yield p.anchor, p.phrase, ids[p.owner] if len(p.owner) else ids[:0], p.lo - p.first[p.owner] if len(p.owner) else ids[:0]
 
 
-def _marked(p: Parsed, lists: list) -> np.ndarray:
-    """Which phrases are among the list of their own document."""
-    out = np.zeros(len(p.phrase), bool)
-    ends = np.searchsorted(p.owner, np.arange(len(lists) + 1))
-    for d, keys in enumerate(lists):
-        if keys:
-            out[ends[d] : ends[d + 1]] = np.isin(p.phrase[ends[d] : ends[d + 1]], np.array(keys, np.int64))
-    return out
+class Lists:
+    """A column of lists of (s, ref, place), or of s alone, without an object per entry."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten()
+        kind = pa.types.is_struct(flat.type)
+        self.fields = [np.asarray(f, np.int64) for f in (flat.flatten() if kind else [flat])]
+        sizes = np.nan_to_num(np.asarray(pc.list_value_length(column).to_numpy(zero_copy_only=False), float)).astype(np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+
+    def found(self, row: int, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]] | None:
+        """Which of ``keys`` are in the row's list, and the other fields there; None for an empty list."""
+        a, b = self.ends[row], self.ends[row + 1]
+        if a == b:
+            return None
+        own = [f[a:b] for f in self.fields]
+        by = np.argsort(own[0], kind="stable")
+        at = np.minimum(np.searchsorted(own[0][by], keys), b - a - 1)
+        return own[0][by][at] == keys, [f[by][at] for f in own[1:]]
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        asks = b.column(2).to_pylist()
+        asks = Lists(b.column(2))
         for first, p, ids in _parsed(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            some = np.flatnonzero(_marked(p, asks[first : first + len(ids)])[p.of]) if len(p.of) else p.of
-            yield p.anchor[p.of[some]], p.windows(some), ids[p.doc[some]]
-
-
-def _removed(p: Parsed, hits: list, windows: list) -> list[np.ndarray]:
-    """Per document, which words are covered by a repeated window."""
-    dup = _marked(p, hits)[p.of] if len(p.of) else np.zeros(0, bool)
-    ends = np.searchsorted(p.doc, np.arange(len(hits) + 1))
-    for d, keys in enumerate(windows):
-        if keys:
-            dup[ends[d] : ends[d + 1]] |= np.isin(p.windows(np.arange(ends[d], ends[d + 1])), np.array(keys, np.int64))
-    change = np.zeros(int(p.counts.sum()) + 1, np.int64)
-    at = p.starts[dup]
-    np.add.at(change, at, 1)
-    np.add.at(change, at + WINDOW, -1)
-    covered = np.cumsum(change)[:-1] > 0
-    return np.split(covered, np.cumsum(p.counts)[:-1])
+            wanted = np.zeros(len(p.phrase), bool)
+            ends = np.searchsorted(p.owner, np.arange(len(ids) + 1))
+            for d in range(len(ids)):
+                if got := asks.found(first + d, p.phrase[ends[d] : ends[d + 1]]):
+                    wanted[ends[d] : ends[d + 1]] = got[0]
+            some = np.flatnonzero(wanted[p.of]) if len(p.of) else p.of
+            yield p.anchor[p.of[some]], p.windows(some), ids[p.doc[some]], p.starts[some] - p.first[p.doc[some]]
+
+
+def _factors(p: Parsed, n: int, row: int, hits: Lists, windows: Lists) -> list[tuple[np.ndarray, ...]]:
+    """Per document (start, end, ref, place) of its factors in word numbers, one after another without overlap."""
+    ref, place = np.zeros(len(p.starts), np.int64), np.zeros(len(p.starts), np.int64)
+    dup = np.zeros(len(p.starts), bool)
+    of_doc, of_owner = np.searchsorted(p.doc, np.arange(n + 1)), np.searchsorted(p.owner, np.arange(n + 1))
+    out = []
+    for d in range(n):
+        here, own = slice(of_doc[d], of_doc[d + 1]), slice(of_owner[d], of_owner[d + 1])
+        if got := hits.found(row + d, p.phrase[own]):
+            of = p.of[here] - of_owner[d]
+            dup[here], ref[here] = got[0][of], got[1][0][of]
+            place[here] = got[1][1][of] + p.starts[here] - p.lo[own][of]
+        if got := windows.found(row + d, p.windows(np.arange(of_doc[d], of_doc[d + 1]))):
+            new = got[0] & ~dup[here]
+            dup[here] |= new
+            ref[here], place[here] = np.where(new, got[1][0], ref[here]), np.where(new, got[1][1], place[here])
+        w = np.flatnonzero(dup[here]) + of_doc[d]
+        at, r, q = p.starts[w] - p.first[d], ref[w], place[w]
+        # a factor goes on while the next window is at the next place of the same reference
+        new = np.ones(len(w), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (r[1:] != r[:-1]) | (q[1:] != q[:-1] + 1)
+        begin = np.flatnonzero(new)
+        ends = at[np.append(begin[1:], len(w)) - 1] + WINDOW if len(w) else at
+        late = np.maximum(np.concatenate([[0], ends[:-1]]) - at[begin], 0) if len(w) else at  # a factor begins where the one before ends
+        out.append((at[begin] + late, ends, r[begin], q[begin] + late))
+    return out
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``hits`` (phrases) and ``windows`` (single ones) that earlier documents have."""
+    """``docs`` (doc_id, text) with ``hits`` (phrases) and ``windows`` (single ones) that earlier documents have, each with its reference."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where(F.col("doc_id").isNotNull())
     seen = _index(known, _phrases, by_anchor=True)
-    lists = seen.groupBy("doc").agg(F.collect_list(F.when(F.col("found"), F.col("s"))).alias("hits"), F.collect_list(F.when(~F.col("found"), F.col("s"))).alias("asks"))
+    copied = F.struct("s", "ref", "place")
+    lists = seen.groupBy("doc").agg(F.collect_list(F.when(F.col("found"), copied)).alias("hits"), F.collect_list(F.when(~F.col("found"), F.col("s"))).alias("asks"))
     lists = written(lists, "factors")
     asked = known.join(lists.where(F.size("asks") > 0).select("doc", "asks"), known["doc_id"] == F.col("doc")).select("doc_id", "text", "asks")
-    singles = _index(asked, _asked, by_anchor=False).where("found").groupBy("doc").agg(F.collect_list("s").alias("windows"))
+    singles = _index(asked, _asked, by_anchor=False).where("found").groupBy("doc").agg(F.collect_list(copied).alias("windows"))
     singles = written(singles, "boundaries").withColumnRenamed("doc", "sdoc")
     both = lists.select("doc", "hits").join(singles, F.col("doc") == F.col("sdoc"), "left").select("doc", "hits", "windows")
     return docs.join(both, docs["doc_id"] == both["doc"], "left").select("doc_id", "text", "hits", "windows")
 
 
+def _parsed_factors(b: pa.RecordBatch) -> Iterator[tuple[int, Parsed, list[tuple[np.ndarray, ...]]]]:
+    hits, windows = Lists(b.column(2)), Lists(b.column(3))
+    for first, p, ids in _parsed([0] * b.num_rows, b.column(1).to_pylist()):
+        yield first, p, _factors(p, len(ids), first, hits, windows)
+
+
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, spans): the duplicate spans of each document in word numbers, ends exclusive."""
+    """(doc_id, n_words, spans): the factors of each document, as word numbers (ends exclusive), the reference document and the word number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "ref", "place")]))
         for b in batches:
-            hits, windows, counts, spans = b.column(2).to_pylist(), b.column(3).to_pylist(), [], []
-            for first, p, ids in _parsed([0] * b.num_rows, b.column(1).to_pylist()):
-                part = slice(first, first + len(ids))
-                for r in _removed(p, hits[part], windows[part]):
-                    counts.append(len(r))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], r.astype(np.int8), [0]])))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            counts, spans = [], []
+            for _, p, factors in _parsed_factors(b):
+                counts += p.counts.tolist()
+                spans += [[dict(zip(("start", "end", "ref", "place"), f, strict=True)) for f in zip(*(x.tolist() for x in fs), strict=True)] for fs in factors]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind)], ["doc_id", "n_words", "spans"])
 
-    return marks(docs).mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,end:long>>")
+    return marks(docs).mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,end:long,ref:long,place:long>>")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -272,16 +309,16 @@ def _kept(docs: DataFrame, column: str, kind: pa.DataType, shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, hits, windows = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+            texts = b.column(1).to_pylist()
             counts, removed, kept = [], [], []
-            for first, p, ids in _parsed([0] * b.num_rows, texts):
-                part = slice(first, first + len(ids))
-                for t, r in zip(texts[part], _removed(p, hits[part], windows[part]), strict=True):
+            for first, _, factors in _parsed_factors(b):
+                for t, (start, end, *_) in zip(texts[first:], factors, strict=False):
                     words = (t or "").encode("utf-8", "surrogatepass").split()
-                    gone = int(r.sum())
                     counts.append(len(words))
-                    removed.append(gone)
-                    kept.append(shape(b" ".join(w for w, x in zip(words, r.tolist(), strict=True) if not x) if gone else b" ".join(words)))
+                    removed.append(int((end - start).sum()))
+                    for x, y in zip(reversed(start.tolist()), reversed(end.tolist()), strict=True):
+                        del words[x:y]
+                    kept.append(shape(b" ".join(words)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, kind)], ["doc_id", "n_words", "n_removed", name])
 
     return marks(docs).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column}")

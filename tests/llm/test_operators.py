@@ -336,8 +336,16 @@ def test_repeats_with_shifted_and_overlapping_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substrings.deduplicated(docs).collect())
     assert got == sorted(brute_repeats(rows))
-    spans = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["spans"]) for r in substrings.duplicate_spans(docs).collect()}
-    assert spans == {d: g for d, _, g, _ in got}
+    words, parsed = {d: t.split() for d, t in rows}, substrings.duplicate_spans(docs).collect()
+    assert {r["doc_id"]: sum(s["end"] - s["start"] for s in r["spans"]) for r in parsed} == {d: g for d, _, g, _ in got}
+    longest = 0
+    for r in parsed:
+        before = 0
+        for s in r["spans"]:
+            n = s["end"] - s["start"]
+            assert s["ref"] < r["doc_id"] and s["start"] >= before and words[s["ref"]][s["place"] : s["place"] + n] == words[r["doc_id"]][s["start"] : s["end"]]
+            before, longest = s["end"], max(longest, n)
+    assert longest > 40
 
 
 def thue_morse(n):
@@ -358,17 +366,20 @@ def test_words_alike_in_all_sums_differ(spark, size):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, 3, 90).collect()} == {1: 1, 2: 2, 3: 1}
 
 
-def test_look_ups_stream(monkeypatch):
+def test_look_ups_stream():
     rng = random.Random(7)
-    rows = sorted((rng.randrange(6), rng.randrange(4), rng.randrange(5)) for _ in range(300)) + [(9, 1, 4), (10, 1, 3), (10, 2, 3)]
+    rows = sorted((rng.randrange(6), rng.randrange(4), rng.randrange(5), rng.randrange(99)) for _ in range(300)) + [(9, 1, 4, 0), (10, 1, 3, 1), (10, 2, 3, 2)]
     table = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    pa = substrings.pa
     for size in (1, 2, 7, 400):
-        pa = substrings.pa
-        batches = [pa.RecordBatch.from_arrays([*(pa.array(c[i : i + size]) for c in table), pa.array(np.zeros(len(table[0][i : i + size]), bool))], ["a", "s", "doc", "found"]) for i in range(0, len(rows), size)]
-        got = sorted((d, s, f) for b in substrings._looked_up(iter(batches)) for d, s, f in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        least = {(a, s): min(d for x, y, d in rows if (x, y) == (a, s)) for a, s, _ in rows}
-        want = {(a, s, d, True) for a, s, d in rows if d > least[a, s]} | {(a, s, d, False) for (a, s), d in least.items() if len({y for x, y in least if x == a}) > 1}
-        assert got == sorted((d, s, f) for _, s, d, f in want)
+        batches = []
+        for i in range(0, len(rows), size):
+            a, s, doc, pos = (pa.array(c[i : i + size]) for c in table)
+            batches.append(pa.RecordBatch.from_arrays([a, s, doc, doc, pos, pa.array(np.zeros(len(a), bool))], ["a", "s", "doc", "ref", "place", "found"]))
+        got = sorted(r for b in substrings._looked_up(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        least = {(a, s): min((d, q) for x, y, d, q in rows if (x, y) == (a, s)) for a, s, *_ in rows}
+        want = {(a, s, d, *least[a, s], True) for a, s, d, _ in rows if d > least[a, s][0]} | {(a, s, d, 0, 0, False) for (a, s), (d, _) in least.items() if len({y for x, y in least if x == a}) > 1}
+        assert got == sorted((d, s, *rest) for _, s, d, *rest in want)
 
 
 def test_range_of_finds_the_range(spark):
@@ -584,3 +595,19 @@ def test_pipeline(spark, folder):
         ids = lib.encode(secrets.redacted(texts[d]), add_special_tokens=False).ids
         assert out[d]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_on_an_empty_table(spark, empty):
+    out = corpus_pipeline.run(spark, empty)
+    assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    docs, _ = make_documents()
+    rows = [(d, t, lang, f"s{i}", "keep", True, 0.5, "cid", 7) for i, (d, t, lang, *_) in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score string, rejected boolean, cross_entropy double, block string, n_hit long")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns, name
+        kept = {tuple(r[c] for c in frame.columns if c != "text") for r in out.collect()}
+        assert kept and kept <= {(r[0], *r[2:]) for r in rows}, name
