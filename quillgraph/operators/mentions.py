@@ -135,3 +135,16 @@ def located(spans: DataFrame, sents: DataFrame) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("__at", F.col("__s").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__last", F.last("__s", ignorenulls=True).over(order)).where("__s IS NULL")
     return rows.withColumn("sentence_index", F.coalesce(F.when(F.col("start_char") < F.col("__last.end"), F.col("__last.n")), F.lit(0))).drop("__at", "__s", "__last")
+
+
+def sentence_text(sents: DataFrame, document_id: str, sentence_index: int) -> DataFrame:
+    return sents.where((F.col("document_id") == document_id) & (F.col("sentence_index") == sentence_index)).select("text")
+
+
+def mentions_at(found: DataFrame, document_id: str, position: int) -> DataFrame:
+    """The mentions that cover a place of a document."""
+    return found.where((F.col("document_id") == document_id) & (F.col("start_char") <= position) & (F.col("end_char") > position))
+
+
+def mentions_in_sentence(found: DataFrame, document_id: str, sentence_index: int) -> DataFrame:
+    return found.where((F.col("document_id") == document_id) & (F.col("sentence_index") == sentence_index)).orderBy("start_char")

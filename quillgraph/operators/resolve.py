@@ -96,3 +96,9 @@ def labels(ids: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(entity_id, label, type) of ids; an unknown id is its own label."""
     out = ids.join(lexicon.select("entity_id", "label", "type"), "entity_id", "left")
     return out.withColumn("label", F.coalesce("label", "entity_id"))
+
+
+def record(lexicon: DataFrame, entity_id: str) -> DataFrame:
+    """What is declared of an id: label (the id itself where nothing is), type, aliases, anaphors, and whether it is a literal."""
+    one = lexicon.sparkSession.range(1).select(F.lit(entity_id).alias("entity_id")).join(lexicon.where(F.col("entity_id") == entity_id), "entity_id", "left")
+    return one.select("entity_id", F.coalesce("label", "entity_id").alias("label"), "type", "aliases", "anaphors", F.coalesce(F.col("type") == "LITERAL", F.lit(False)).alias("is_literal"))

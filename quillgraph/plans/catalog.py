@@ -609,3 +609,24 @@ _register_rendered()
 def report_skips(spark, d):
     _, skipped, _ = extraction.extracted(_customer_sentences(spark, d, "{c} leads work."), _lexicon(spark, d))
     return skipped.select("document_id", "rule_id", "reason")
+
+
+@query(
+    "mention_resolutions",
+    f"""SELECT 'c' || c_custkey AS document_id, 0 AS start_char, length(c_name)::INTEGER AS end_char, c_name AS mention, {_SQL_ID['c']} AS entity_id, 'ALIAS' AS source, 'ruler' AS mention_source, false AS is_anaphoric FROM customer
+    UNION ALL SELECT 'c' || c_custkey, (length(c_name) + 6)::INTEGER, (length(c_name) + 11 + length(c_custkey::VARCHAR))::INTEGER, 'Part ' || c_custkey, {_SQL_ID['p']}, 'ALIAS', 'ruler', false FROM customer WHERE c_custkey IN (SELECT p_partkey FROM part)
+    UNION ALL SELECT 'c' || c_custkey, (length(c_name) + 13 + length(c_custkey::VARCHAR))::INTEGER, (length(c_name) + 24 + length(c_custkey::VARCHAR))::INTEGER, 'The company', {_SQL_ID['c']}, 'ANTECEDENT', 'common_noun_noun_chunk', true FROM customer""",
+)
+def mention_resolutions(spark, d):
+    *_, found = extraction.extracted(_customer_sentences(spark, d, RENDERED["transitive"][0]), _lexicon(spark, d))
+    return found.select("document_id", "start_char", "end_char", "mention", "entity_id", "source", "mention_source", "is_anaphoric")
+
+
+@query("confidence_texts", G + "SELECT triple_id, printf('%.2f', confidence) || ' (' || CASE WHEN confidence >= 0.995 THEN 'stated' WHEN confidence >= 0.895 THEN 'through a reference' ELSE 'inferred' END || ')' AS said FROM triples")
+def confidence_texts(spark, d):
+    return _triples(spark, d).select("triple_id", T.confidence_text(F.col("confidence")).alias("said"))
+
+
+@query("declared_record", "WITH " + LEX_SQL + f"SELECT entity_id, label, type, type = 'LITERAL' AS is_literal FROM lex WHERE entity_id = {C_ID}")
+def declared_record(spark, d):
+    return resolve.record(_lexicon(spark, d), C_ID.strip("'")).select("entity_id", "label", "type", "is_literal")

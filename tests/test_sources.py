@@ -170,6 +170,16 @@ def test_mentions_and_resolutions_of_a_document(spark):
     assert ("organization:helios_bank", "leads", "organization:quantum_forge", 0.9) in {(r["subject_id"], r["relation"], r["object_id"], r["confidence"]) for r in candidates.collect()}
 
 
+def test_point_look_ups(spark):
+    found = spark.createDataFrame([("d", 0, 5, 0), ("d", 3, 9, 0), ("d", 12, 14, 1)], "document_id string, start_char int, end_char int, sentence_index int")
+    assert [r["start_char"] for r in mentions.mentions_at(found, "d", 4).orderBy("start_char").collect()] == [0, 3] and mentions.mentions_at(found, "d", 10).isEmpty()
+    assert [r["start_char"] for r in mentions.mentions_in_sentence(found, "d", 1).collect()] == [12]
+    sents = mentions.sentences(spark.createDataFrame([("d", "One. Two.")], "document_id string, text string"))
+    assert mentions.sentence_text(sents, "d", 1).first()[0] == "Two."
+    lex = from_records(spark, [{"label": "Ada", "type": "PERSON"}], [{"label": "ethics"}])
+    assert resolve.record(lex, "literal:ethics").first()["is_literal"] and resolve.record(lex, "x:y").first()["label"] == "x:y"
+
+
 def test_nearest_antecedent_matches_brute_force(spark):
     import random
 
