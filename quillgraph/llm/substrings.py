@@ -316,9 +316,11 @@ def _kept(docs: DataFrame, column: str, kind: pa.DataType, shape) -> DataFrame:
                     words = (t or "").encode("utf-8", "surrogatepass").split()
                     counts.append(len(words))
                     removed.append(int((end - start).sum()))
-                    for x, y in zip(reversed(start.tolist()), reversed(end.tolist()), strict=True):
-                        del words[x:y]
-                    kept.append(shape(b" ".join(words)))
+                    left, at = [], 0
+                    for x, y in zip(start.tolist(), end.tolist(), strict=True):
+                        left += words[at:x]
+                        at = y
+                    kept.append(shape(b" ".join(left + words[at:])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, kind)], ["doc_id", "n_words", "n_removed", name])
 
     return marks(docs).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column}")
