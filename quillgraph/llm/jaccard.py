@@ -307,7 +307,8 @@ def links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
     chosen = written(member.join(heads, "cid").select("cid", "block", "head.*", _range("head.n_shingles", percent).alias("c")), "members")
     dealt = written(_dealt(chosen).withColumnsRenamed({"doc_id": "head_id", "th": "head_th"}), "dealt")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    texts = texts.join(dealt, texts["doc_id"].eqNullSafe(dealt["head_id"]) & (texts["th"] == dealt["head_th"])).select("block", "low", "high", "cid", "text")
+    # always by a shuffle, so that the plan is the same at every size
+    texts = texts.join(dealt.hint("merge"), texts["doc_id"].eqNullSafe(dealt["head_id"]) & (texts["th"] == dealt["head_th"])).select("block", "low", "high", "cid", "text")
 
     def join(group: pa.Table) -> pa.Table:
         tree = PrefixTree(percent)
