@@ -142,10 +142,11 @@ class Node:
 
 
 class PrefixTree:
-    """Sets in a path-compressed trie; probing links a set to the components it is similar to."""
+    """Sets in a path-compressed trie; probing links a set to the components it is similar to, or (``every``) to each set, which ``pairs`` lists."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, every: bool = False):
+        self.percent, self.every = percent, every
+        self.pairs: list[tuple[int, int]] = []
         self.parent: list[int] = []
         self.root = Node([], 0, 1 << 60, 0)
 
@@ -176,7 +177,7 @@ class PrefixTree:
             if done:
                 self._settle(node)
                 continue
-            if node.one >= 0 and find(node.one) == find(me):
+            if not self.every and node.one >= 0 and find(node.one) == find(me):
                 continue
             run, at, beyond, step = node.run, 0, 0, STRETCH
             depth = node.depth - len(run)
@@ -194,13 +195,14 @@ class PrefixTree:
                 continue
             if node.end >= 0 and 100 * shared >= percent * (size + node.depth - shared):
                 self._join(me, node.end)
-            if node.one == -2:
+                self.pairs.append((node.end, me))
+            if node.one == -2 and not self.every:
                 stack.append((node, 0, True))
             if node.children:
                 mine = find(me)
                 # the child on the probe's own path is walked first
                 first = node.children.get(x[beyond]) if beyond < size else None
-                stack += [(c, shared, False) for c in node.children.values() if c is not first and (c.one < 0 or find(c.one) != mine)]
+                stack += [(c, shared, False) for c in node.children.values() if c is not first and (self.every or c.one < 0 or find(c.one) != mine)]
                 if first is not None:
                     stack.append((first, shared, False))
 
@@ -300,8 +302,8 @@ def blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return components(edges.select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct())
 
 
-def links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): classes that are linked, enough of them to connect each component. ``known`` is ``classes(docs)``."""
+def links(docs: DataFrame, known: DataFrame, n: int, percent: int, every: bool = False) -> DataFrame:
+    """(a, b): classes that are linked, enough of them to connect each component, or ``every`` pair (some several times). ``known`` is ``classes(docs)``."""
     member = blocks(docs, n, percent).select(F.col("v").alias("cid"), F.col("label").alias("block"))
     heads = known.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "size", "n_shingles")).alias("head"))
     chosen = written(member.join(heads, "cid").select("cid", "block", "head.*", _range("head.n_shingles", percent).alias("c")), "members")
@@ -311,14 +313,15 @@ def links(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
     texts = texts.join(dealt.hint("merge"), texts["doc_id"].eqNullSafe(dealt["head_id"]) & (texts["th"] == dealt["head_th"])).select("block", "low", "high", "cid", "text")
 
     def join(group: pa.Table) -> pa.Table:
-        tree = PrefixTree(percent)
+        tree = PrefixTree(percent, every)
         ids = group.column("cid").to_pylist()
         first: dict[bytes, int] = {}
         keep = [i for i, c in enumerate(ids) if first.setdefault(c, i) == i]
         texts = group.column("text")
         for s in shingle_sets([texts[i].as_py() for i in keep], n):
             tree.add(s)
-        found = [(ids[keep[tree.find(i)]], ids[keep[i]]) for i in range(len(keep)) if tree.find(i) != i]
+        linked = tree.pairs if every else [(tree.find(i), i) for i in range(len(keep)) if tree.find(i) != i]
+        found = [(ids[keep[i]], ids[keep[j]]) for i, j in linked]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return texts.groupBy("block", "low", "high").applyInArrow(join, "a binary, b binary")
@@ -370,6 +373,23 @@ def similar_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return out.select("doc_id", "th", "n_shingles", "group", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, th, n_shingles, n_links (other rows whose sets are similar, those with equal sets among them).
+
+    Every pair of similar classes is made for this, so unlike the components a
+    group of m different near-copies costs m squared; copies of one set cost nothing.
+    """
+    docs = docs.select("doc_id", "text")
+    known = written(classes(docs, n), "classes")
+    sizes = written(known.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("rows")), "sizes")
+    pairs = written(links(docs, known, n, percent, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, both["b"] == sizes["cid"]).groupBy("a").agg(F.sum("rows").alias("others"))
+    per = written(sizes.join(others, sizes["cid"] == others["a"], "left").select(F.col("cid").alias("of"), (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "link-counts")
+    out = known.join(per, known["cid"] == per["of"], "left")
+    return out.select("doc_id", "th", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id (then text hash) stays, once; texts without words all stay."""
     rows = similar_groups(docs, n, percent).where("group IS NOT NULL")

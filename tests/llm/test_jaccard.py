@@ -84,6 +84,16 @@ def brute(rows, n, percent):
     return sorted([(d, len(s), ids.get(g) if s else d) for (d, _), g, s in zip(rows, group, sets, strict=True)], key=str)
 
 
+def brute_links(rows, n, percent):
+    def shingles(t):
+        w = (t or "").encode().translate(wordhash._UPPER).split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    similar = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= percent * len(x | y)
+    return sorted([(d, sum(similar(sets[i], y) for j, y in enumerate(sets) if j != i)) for i, (d, _) in enumerate(rows)], key=str)
+
+
 @pytest.mark.parametrize("block", [8_000_000, 4_000])
 def test_join_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
@@ -101,3 +111,5 @@ def test_join_matches_brute_force(spark, monkeypatch, block):
     got = jaccard.similar_groups(docs, 3, 90).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 3, 90)
     assert jaccard.similar_groups(docs.limit(0), 3, 90).count() == 0
+    counted = jaccard.link_counts(docs, 3, 90).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, counted), key=str) == brute_links(rows, 3, 90)
