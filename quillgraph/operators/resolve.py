@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions import vocab
-from quillgraph.functions.text import surface_form, without_determiner, without_possessive
+from quillgraph.functions.text import is_ambiguous_pronoun, surface_form, without_determiner, without_possessive
 from quillgraph.operators.cut import cut
 
 
@@ -27,7 +26,7 @@ def alias_index(lexicon: DataFrame) -> DataFrame:
 def description_index(lexicon: DataFrame) -> DataFrame:
     """(surface, entity_id) of descriptions that exactly one entity declares; pronouns never count."""
     rows = lexicon.where("type <> 'LITERAL'").select("entity_id", F.explode("anaphors").alias("a")).withColumn("surface", surface_form(F.col("a")))
-    rows = rows.where(~F.col("surface").isin(*vocab.PRONOUN_SURFACES))
+    rows = rows.where(~is_ambiguous_pronoun(F.col("surface")))
     grouped = rows.groupBy("surface").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
     return grouped.where("n = 1").select("surface", "entity_id")
 
@@ -35,7 +34,7 @@ def description_index(lexicon: DataFrame) -> DataFrame:
 def pronoun_index(lexicon: DataFrame) -> DataFrame:
     """(surface, entity_ids) for diagnostics; a pronoun is never resolved from it."""
     rows = lexicon.select("entity_id", F.explode("anaphors").alias("a")).withColumn("surface", surface_form(F.col("a")))
-    return rows.where(F.col("surface").isin(*vocab.PRONOUN_SURFACES)).groupBy("surface").agg(F.sort_array(F.collect_set("entity_id")).alias("entity_ids"))
+    return rows.where(is_ambiguous_pronoun(F.col("surface"))).groupBy("surface").agg(F.sort_array(F.collect_set("entity_id")).alias("entity_ids"))
 
 
 def literal_index(lexicon: DataFrame) -> DataFrame:
@@ -92,12 +91,6 @@ def annotate(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.join(record, "entity_id", "left")
 
 
-def labels(ids: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(entity_id, label, type) of ids; an unknown id is its own label."""
-    out = ids.join(lexicon.select("entity_id", "label", "type"), "entity_id", "left")
-    return out.withColumn("label", F.coalesce("label", "entity_id"))
-
-
 def record(lexicon: DataFrame, entity_id: str) -> DataFrame:
     """What is declared of an id: label (the id itself where nothing is), type, aliases, anaphors, and whether it is a literal."""
     one = lexicon.sparkSession.range(1).select(F.lit(entity_id).alias("entity_id")).join(lexicon.where(F.col("entity_id") == entity_id), "entity_id", "left")

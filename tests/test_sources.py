@@ -85,6 +85,22 @@ def test_stream_gives_each_triple_once(spark, tmp_path):
     assert spark.table("once").count() == 1
 
 
+def test_texts_and_counts_stream(spark, tmp_path):
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "a.txt").write_text("One.\nTwo.")
+    q = ingest.text_stream(spark, str(tmp_path / "texts")).writeStream.format("memory").queryName("texts").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["document_id"], r["text"]) for r in spark.table("texts").collect()] == [("a", "One.\nTwo.")]
+    cols = "subject_id string, relation string, object_id string, object_type string, document_id string, minute int"
+    rows = [("a", "uses", "b", "PRODUCT", "d", 1), ("a", "uses", "c", "PRODUCT", "d", 2), ("a", "uses", "a", "PRODUCT", "d", 2), ("a", "leads", "b", "PROJECT", "d", 9)]
+    made = spark.createDataFrame(rows, cols).withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), "minute", F.lit(0)))
+    made.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+    q = ingest.relation_counts(stream, "ts").writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["relation"], r["n"]) for r in spark.table("counts").collect()) == [("leads", 1), ("uses", 2)]
+
+
 def test_nothing_imports_the_training_data_package():
     root = os.path.join(os.path.dirname(os.path.dirname(__file__)), "quillgraph")
     for folder, _, files in os.walk(root):
