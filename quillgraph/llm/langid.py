@@ -54,11 +54,11 @@ LEAST = (0.1, 2.0)
 #: One in so many labelled texts calibrates the rejection.
 UNSEEN = 10
 #: Code points handled at once.
-CHUNK = 500_000
+CHUNK = 200_000
 #: Counts of 4-grams that a task holds before it adds up the like (and twice the distinct ones, where these are more).
 MERGED = 400_000
 #: Scores that a worker keeps.
-KEPT = 1 << 22
+KEPT = 1 << 21
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _LEAD = "   "
