@@ -186,6 +186,25 @@ def test_mentions_and_resolutions_of_a_document(spark):
     assert ("organization:helios_bank", "leads", "organization:quantum_forge", 0.9) in {(r["subject_id"], r["relation"], r["object_id"], r["confidence"]) for r in candidates.collect()}
 
 
+def test_a_graph_is_built_once_for_the_same_files(spark, tmp_path, monkeypatch):
+    from quillgraph.sources import store
+
+    (tmp_path / "t.parquet").mkdir()
+    (tmp_path / "t.parquet" / "part").write_text("a")
+    seen = [store.fingerprint(spark, [str(tmp_path / "t.parquet")]) for _ in range(2)]
+    (tmp_path / "t.parquet" / "part").write_text("ab")
+    assert seen[0] == seen[1] != store.fingerprint(spark, [str(tmp_path / "t.parquet")]) != store.fingerprint(spark, [str(tmp_path / "none")])
+    made = []
+    rows = [("a:x", "X", "PERSON", "leads", "b:y", "Y", "PROJECT", "d", 0, "0", "s", 1.0, False, False, "R"), ("a:x", "X", "PERSON", "uses", "b:z", "Z", "PROJECT", "d", 0, "0", "s", 1.0, False, False, "R")]
+    cols = "subject_id string, subject string, subject_type string, relation string, object_id string, object string, object_type string, document_id string, sentence_index int, seq string, sentence string, confidence double, coref_resolved boolean, inferred boolean, rule_id string"
+    monkeypatch.setattr(store.relational, "candidates", lambda s, d: made.append(d) or spark.createDataFrame(rows, cols))
+    for _ in range(2):
+        got = store.graph(spark, str(tmp_path))
+        assert sorted((r["subject_id"], r["relation"], r["object_id"]) for r in got.collect()) == [("a:x", "leads", "b:y"), ("a:x", "uses", "b:z")]
+        assert got.where("relation = 'uses'").count() == 1
+    assert len(made) == 1
+
+
 def test_point_look_ups(spark):
     found = spark.createDataFrame([("d", 0, 5, 0), ("d", 3, 9, 0), ("d", 12, 14, 1)], "document_id string, start_char int, end_char int, sentence_index int")
     assert [r["start_char"] for r in mentions.mentions_at(found, "d", 4).orderBy("start_char").collect()] == [0, 3] and mentions.mentions_at(found, "d", 10).isEmpty()
