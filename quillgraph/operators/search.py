@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vocab
 from quillgraph.functions.text import inverse_phrase
 from quillgraph.operators.cut import cut
-from quillgraph.plans.question import Pattern, Plan, Term
+from quillgraph.plans.question import Pattern, Plan
 
 PROVENANCE = ("document_id", "sentence_id", "triple_id", "sentence", "rule_id", "confidence", "coref_resolved", "inferred", "original_subject", "original_object")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions import vocab
 from quillgraph.operators import coref, explore, extraction, mentions, resolve, search, triples
-from quillgraph.operators.cut import cut
 from quillgraph.plans.question import Lexicon, Parser, Pattern, Plan, Term
 from quillgraph.sources import store
 from quillgraph.sources.relational import CANDIDATES_SQL, table
