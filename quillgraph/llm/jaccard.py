@@ -22,7 +22,15 @@ work is on classes. Links are found in two steps, neither of which loses one:
    threshold. A subtree whose sets are all in the probe's component already is
    left too, so a group of many copies costs no square of its size.
 
-A block of more than ``BLOCK`` bytes of text is cut by set size into ranges whose
+A passage that many unlike texts quote makes them agree on some run, so blocks
+chain up as a table grows. A block of more than ``BLOCK`` bytes of text is
+therefore parted anew: its sets are ordered by how common their shingles are in
+the large blocks, rarest first, and since similar sets share an element among
+their first |x| - ceil(t |x|) + 1 in any one order, only the classes that do
+stay together. Common passages stand last there and connect nothing. The counts
+are of hash slots, and a poor order would cost time, never a link.
+
+A block that is still larger is cut by set size into ranges whose
 ends are as far apart as similar sets can be, so only a range and the next one
 meet; a range that is still larger is cut into sub-blocks. Each pair of
 sub-blocks is one group, dealt by a key of its own, and holds two sub-blocks (or
@@ -54,6 +62,8 @@ from quillgraph.llm.components import components
 GROWTH, BLOCK, HELD = 1.5, 1_000_000, 500_000
 #: Parts of a cut over the elements in which sets can differ; elements of a long run that a probe compares first.
 SPARE, STRETCH = 1.3, 32
+#: Bits of a slot in which shingles of large blocks are counted.
+SLOT = 18
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -307,10 +317,12 @@ def links(docs: DataFrame, known: DataFrame, n: int, percent: int, every: bool =
     member = blocks(docs, n, percent).select(F.col("v").alias("cid"), F.col("label").alias("block"))
     heads = known.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "size", "n_shingles")).alias("head"))
     chosen = written(member.join(heads, "cid").select("cid", "block", "head.*", _range("head.n_shingles", percent).alias("c")), "members")
-    dealt = written(_dealt(chosen).withColumnsRenamed({"doc_id": "head_id", "th": "head_th"}), "dealt")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     # always by a shuffle, so that the plan is the same at every size
-    texts = texts.join(dealt.hint("merge"), texts["doc_id"].eqNullSafe(dealt["head_id"]) & (texts["th"] == dealt["head_th"])).select("block", "low", "high", "cid", "text")
+    of = chosen.select("cid", F.col("doc_id").alias("head_id"), F.col("th").alias("head_th"))
+    texts = written(rows.join(of.hint("merge"), rows["doc_id"].eqNullSafe(of["head_id"]) & (rows["th"] == of["head_th"])).select("cid", "text"), "member-texts")
+    dealt = written(_dealt(refined(texts, chosen, n, percent)).withColumnRenamed("cid", "of"), "dealt")
+    texts = texts.join(dealt.hint("merge"), texts["cid"] == dealt["of"]).select("block", "low", "high", "cid", "text")
 
     def join(group: pa.Table) -> pa.Table:
         tree = PrefixTree(percent, every)
@@ -327,6 +339,56 @@ def links(docs: DataFrame, known: DataFrame, n: int, percent: int, every: bool =
     return texts.groupBy("block", "low", "high").applyInArrow(join, "a binary, b binary")
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return wordhash.mix(s, 23) >> np.uint64(64 - SLOT)
+
+
+def prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The first elements of a set, rarest first by the counts of their slots: any similar set has one of them among its own."""
+    by = np.lexsort((s, common[_slots(s)]))
+    return s[by[: len(s) + 1 - -(-len(s) * percent // 100)]]
+
+
+def refined(texts: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
+    """``chosen`` (cid, block, size, ...; ``texts`` has cid, text) with large blocks parted by shared rare shingles; a class that shares none there is linked with nothing and goes."""
+    large = written(chosen.groupBy("block").agg(F.sum("size").alias("whole")).where(F.col("whole") > BLOCK).select(F.col("block").alias("large")), "large-blocks")
+    if large.isEmpty():
+        return chosen
+    inner = written(chosen.join(large, chosen["block"] == large["large"], "left_semi"), "large-members")
+    of = inner.select(F.col("cid").alias("of"), F.xxhash64("block").alias("block"))
+    texts = written(texts.join(of.hint("merge"), texts["cid"] == of["of"]).select("cid", "block", "text"), "large-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        total = np.zeros(1 << SLOT, np.int64)
+        for b in batches:
+            for s in shingle_sets(b.column(0).to_pylist(), n):
+                np.add.at(total, _slots(s), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row per slot
+    common = np.zeros(1 << SLOT, np.int64)
+    common[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shipped = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            of, salts = b.column(0), b.column(1).to_numpy().view(np.uint64)
+            for i, s in enumerate(shingle_sets(b.column(2).to_pylist(), n)):
+                p = wordhash.mix(prefix(s, shipped.value, percent) ^ salts[i], 29).view(np.int64)  # no path is shared by two blocks
+                yield pa.RecordBatch.from_arrays([pa.array(p), of.take(pa.array(np.full(len(p), i, np.int32)))], ["path", "cid"])
+
+    rows = written(texts.mapInArrow(_batched(run), "path long, cid binary"), "prefixes")
+    # by partial aggregates and a join, which can be split, where one path has many rows
+    first = rows.groupBy(F.col("path").alias("at")).agg(F.min("cid").alias("head"), F.max("cid").alias("last")).where("head <> last").select("at", "head")
+    edges = rows.join(first.hint("merge"), rows["path"] == first["at"]).where("head <> cid").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    parted = components(edges).select(F.col("v").alias("cid"), F.col("label").alias("block"))
+    again = inner.drop("block").join(parted, "cid").select(*chosen.columns)
+    return written(chosen.join(large, chosen["block"] == large["large"], "left_anti").unionByName(again), "members")
+
+
 def _range(size: str, percent: int) -> Column:
     """Number of the range of set sizes; sets two ranges apart are too unequal to be similar."""
     return F.floor(F.ln(F.col(size)) / (math.log(100 / percent) * 1.001)).cast("int")
@@ -353,7 +415,7 @@ def _dealt(chosen: DataFrame) -> DataFrame:
     up = F.transform(upto(F.col("above")), lambda j: pair(me, name(F.col("c") + 1, j)))
     down = F.transform(upto(F.col("below")), lambda j: pair(name(F.col("c") - 1, j), me))
     whole = F.array(pair(name(F.lit(-1), F.lit(0)), name(F.lit(-1), F.lit(0))))
-    return rows.withColumn("p", F.explode(F.when(F.col("large").isNull(), whole).otherwise(F.concat(own, up, down)))).select("block", "cid", "doc_id", "th", "p.low", "p.high")
+    return rows.withColumn("p", F.explode(F.when(F.col("large").isNull(), whole).otherwise(F.concat(own, up, down)))).select("block", "cid", "p.low", "p.high")
 
 
 def similar_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -113,3 +113,40 @@ def test_join_matches_brute_force(spark, monkeypatch, block):
     assert jaccard.similar_groups(docs.limit(0), 3, 90).count() == 0
     counted = jaccard.link_counts(docs, 3, 90).select("doc_id", "n_links").collect()
     assert sorted(map(tuple, counted), key=str) == brute_links(rows, 3, 90)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_an_element_of_any_prefix(percent):
+    rng = np.random.default_rng(5)
+    seen = 0
+    for size in [1, 2, 4, 5, 9, 10, 11, 20, 57, 100, 211]:
+        common = rng.integers(0, 5, 1 << jaccard.SLOT)
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            drop = rng.random(len(x)) < rng.uniform(0, 0.2)
+            y = np.unique(np.append(x[~drop], rng.integers(0, 1 << 63, rng.integers(0, 1 + size // 8), dtype=np.uint64)))
+            o = len(np.intersect1d(x, y))
+            if len(y) and 100 * o >= percent * (len(x) + len(y) - o):
+                seen += 1
+                assert set(jaccard.prefix(x, common, percent).tolist()) & set(jaccard.prefix(y, common, percent).tolist())
+    assert seen > 100
+
+
+def test_quotes_of_one_passage_are_not_dealt_in_pairs(spark, monkeypatch):
+    """Unlike texts that quote the same passage were one block, dealt to all pairs of its sub-blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4_000)
+    counts, deal = [], jaccard._dealt
+
+    def counted(chosen):
+        out = deal(chosen)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", counted)
+    rng = random.Random(4)
+    passage = [f"q{i}" for i in range(40)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(25)] + passage + [f"w{rng.randrange(10**6)}" for _ in range(25)])) for i in range(150)]
+    rows += [(1000 + i, f"{t} end") for i, t in rows[:20]]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 5, 80)
+    assert counts[0] <= 2 * len(rows)
