@@ -12,6 +12,7 @@ import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,7 @@ def release() -> None:
     """Before a task that builds large tables of its own."""
     _resident.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can hand memory back
         ctypes.CDLL(None).malloc_trim(0)
 

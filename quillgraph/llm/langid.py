@@ -248,7 +248,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> bytes:
 def _limits(unseen: DataFrame, models: dict[str, KneserNey]) -> dict[str, tuple[float, float, float]]:
     """(m, a, b) of each language."""
     scored = unseen.select("lang", F.char_length("text").alias("n"), judged(unseen.sparkSession, pickle.dumps((models, {})), F.col("text")).alias("j"))
-    scored = written(scored.where("j.lang_pred = lang").select("lang", "n", F.col("j.cross_entropy").alias("h")), "unseen")
+    # filtered once written: a filter here would be pushed below and judge each text again, in a second worker of the task
+    scored = written(scored, "unseen").where("j.lang_pred = lang").select("lang", "n", F.col("j.cross_entropy").alias("h"))
     middle = scored.groupBy("lang").agg(F.percentile_approx("h", 0.5).alias("m"))  # a row per language
     beyond = scored.join(F.broadcast(middle), "lang").withColumn("x", F.col("h") - F.col("m"))
     found = beyond.groupBy("lang").agg(

@@ -527,6 +527,23 @@ def test_held_out_accuracy_and_rejection(spark):
     assert sum(r["rejected"] for r in got if not r["lang"]) >= 0.95 * len(junk)
 
 
+def test_texts_are_judged_once(spark, monkeypatch):
+    """Each evaluation in a plan has a Python worker of its own in every task, with all models in memory."""
+    plans, write = [], langid.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(langid, "written", noted)
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, prose_in(k, 60, rng), k) for i, k in enumerate(["en", "nl"] * 60)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    noted(kept, "kept")
+    evaluated = [len(re.findall(r"ArrowEvalPython", p.split("Initial Plan")[0])) for p in plans]
+    assert max(evaluated) == 1 and sum(evaluated) == 2
+
+
 def test_model_keeps_all_counted_grams(spark):
     rng = random.Random(8)
     letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0x3B1, 0x3CA)) + "\u0144 "
