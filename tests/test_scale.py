@@ -44,3 +44,46 @@ def test_joins_of_extraction_are_never_broadcast(spark):
         df.collect()
         assert "BroadcastHashJoin" not in _plan(df)
     assert [(r["i"], r["arg"]["entity_id"]) for r in tree.arguments(tokens, chunks, named, lexicon).where("arg IS NOT NULL").collect()] == [(0, "product:part_1")]
+
+
+def _tables(spark, folder):
+    made = {
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "N_0", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(1, "Customer#1", 0, "METAL"), (2, "Customer#2", 0, "METAL"), (3, "customer 1", 0, "WOOD")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "supplier": ([(k, f"Supplier#{k}", 0) for k in (1, 2, 3)], "s_suppkey long, s_name string, s_nationkey int"),
+        "orders": ([(k, k % 3 + 1) for k in range(40)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(k, p, s, n) for k in range(40) for n, (p, s) in enumerate([(k % 5, 1), (k % 5, 2), (7, 9), (-7, 1)], 1)] + [(None, 1, 1, 1), (None, 1, 2, 2), (99, 1, 1, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        "events": ([(1, 5, "view"), (2, 6, "view"), (3, 6, "view")], "event_id long, user_id long, event_type string"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_triples_of_lines_are_grouped_where_their_document_is(spark, tmp_path):
+    from quillgraph.operators import triples
+    from quillgraph.sources import relational, store
+
+    found = relational.candidates(spark, _tables(spark, tmp_path))
+    lines = store.grouped(found.where(F.col("relation").isin(*relational.BY_DOCUMENT)))
+    dealt = [x for x in lines._jdf.queryExecution().sparkPlan().toString().splitlines() if "Exchange" in x] + [x for x in lines._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not any("subject_id" in x for x in dealt)
+    whole = triples.build(found)
+    got = store.graph(spark, str(tmp_path)).select(*whole.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect()))
+    by = {(r["relation"], r["subject_id"], r["object_id"], r["document_id"]): r for r in got.collect()}
+    assert by["uses", "organization:customer_1", "product:part_0", "order_0"]["duplicate_count"] == 2
+    assert by["uses", "organization:customer_1", "product:part_7", "order_0"]["duplicate_count"] == 2  # 7 and -7 have one id
+    assert ("partners_with", "organization:supplier_1", "organization:supplier_2", "order_0") in by and sum(k[0] == "partners_with" for k in by) == 1
+    assert sum(k[0] == "collaborates_with" for k in by) == 1
+
+
+def test_what_a_row_says_is_not_stored(spark, tmp_path):
+    from quillgraph.sources import store
+
+    rows = [("a", "X", "P", "leads_to", "b", "Y", "P", "d", 0, "0", s, 1.0, False, False, "R") for s in ("X leads to Y",)] + [("a", "X", "P", "uses", "b", "Y", "P", "d", 0, "0", s, 1.0, False, False, "R") for s in ("it does",)] + [("a", "X", "P", "has", "b", "Y", "P", "d", 0, "0", None, 1.0, False, False, "R")]
+    cols = "subject_id string, subject string, subject_type string, relation string, object_id string, object string, object_type string, document_id string, sentence_index int, seq string, sentence string, confidence double, coref_resolved boolean, inferred boolean, rule_id string"
+    slim = store._slim(store.grouped(spark.createDataFrame(rows, cols)))
+    assert not {"sentence", "triple_id", "original_subject"} & set(slim.columns)
+    assert {r["relation"]: r["sentence"] for r in store._whole(slim).collect()} == {"leads_to": "X leads to Y", "uses": "it does", "has": None}
