@@ -57,6 +57,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import wordhash
 from quillgraph.llm.common import release, table, written
 from quillgraph.llm.components import components
+from quillgraph.operators.cut import marked
 
 #: Size classes are this factor apart; text bytes of a sub-block; rows of paths that a task holds for dropping duplicates.
 GROWTH, BLOCK, HELD = 1.5, 1_000_000, 500_000
@@ -318,10 +319,13 @@ def links(docs: DataFrame, known: DataFrame, n: int, percent: int, every: bool =
     heads = known.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "size", "n_shingles")).alias("head"))
     chosen = written(member.join(heads, "cid").select("cid", "block", "head.*", _range("head.n_shingles", percent).alias("c")), "members")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    key = F.xxhash64("doc_id", "th")
+    rows = rows.where(marked(chosen.select(key.alias("hash")), key))  # texts of others need not be dealt
     # always by a shuffle, so that the plan is the same at every size
-    of = chosen.select("cid", F.col("doc_id").alias("head_id"), F.col("th").alias("head_th"))
-    texts = written(rows.join(of.hint("merge"), rows["doc_id"].eqNullSafe(of["head_id"]) & (rows["th"] == of["head_th"])).select("cid", "text"), "member-texts")
-    dealt = written(_dealt(refined(texts, chosen, n, percent)).withColumnRenamed("cid", "of"), "dealt")
+    large = large_blocks(chosen)
+    of = chosen.join(large, chosen["block"] == large["large"], "left").select("cid", F.col("doc_id").alias("head_id"), F.col("th").alias("head_th"), F.when(F.col("large").isNotNull(), F.xxhash64("block")).alias("salt"))
+    texts = written(rows.join(of.hint("merge"), rows["doc_id"].eqNullSafe(of["head_id"]) & (rows["th"] == of["head_th"])).select("cid", "salt", "text"), "member-texts")
+    dealt = written(_dealt(refined(texts, chosen, large, n, percent)).withColumnRenamed("cid", "of"), "dealt")
     texts = texts.join(dealt.hint("merge"), texts["cid"] == dealt["of"]).select("block", "low", "high", "cid", "text")
 
     def join(group: pa.Table) -> pa.Table:
@@ -349,14 +353,20 @@ def prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     return s[by[: len(s) + 1 - -(-len(s) * percent // 100)]]
 
 
-def refined(texts: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
-    """``chosen`` (cid, block, size, ...; ``texts`` has cid, text) with large blocks parted by shared rare shingles; a class that shares none there is linked with nothing and goes."""
-    large = written(chosen.groupBy("block").agg(F.sum("size").alias("whole")).where(F.col("whole") > BLOCK).select(F.col("block").alias("large")), "large-blocks")
+def large_blocks(chosen: DataFrame) -> DataFrame:
+    """(large): blocks of more than ``BLOCK`` bytes of text."""
+    return written(chosen.groupBy("block").agg(F.sum("size").alias("whole")).where(F.col("whole") > BLOCK).select(F.col("block").alias("large")), "large-blocks")
+
+
+def refined(texts: DataFrame, chosen: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
+    """``chosen`` (cid, block, size, ...) with large blocks parted by shared rare shingles; a class that shares none there is linked with nothing and goes.
+
+    ``texts`` is (cid, salt, text), with a salt by block where the block is large: texts are neither shuffled nor written again for this.
+    """
     if large.isEmpty():
         return chosen
     inner = written(chosen.join(large, chosen["block"] == large["large"], "left_semi"), "large-members")
-    of = inner.select(F.col("cid").alias("of"), F.xxhash64("block").alias("block"))
-    texts = written(texts.join(of.hint("merge"), texts["cid"] == of["of"]).select("cid", "block", "text"), "large-texts")
+    texts = texts.where("salt IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -454,15 +464,21 @@ def link_counts(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id (then text hash) stays, once; texts without words all stay."""
-    rows = similar_groups(docs, n, percent).where("group IS NOT NULL")
+    rows = written(similar_groups(docs, n, percent).where("group IS NOT NULL").select("doc_id", "th", "group"), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")
     best = rows.groupBy("group").agg(F.min(rank).alias("best"))
     best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.th").alias("__th"))
     best = written(best, "kept")
+    # most texts stay where they are: only those that go, or are there twice, and what has a bit of theirs, are looked up
+    per = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    open_ = per.join(best.hint("merge"), per["doc_id"].eqNullSafe(best["__id"]) & (per["th"] == best["__th"]), "left").where("n > 1 OR __th IS NULL")
+    open_ = written(open_.select(F.xxhash64("doc_id", "th").alias("hash")), "open")
     keyed = docs.withColumns({"__text": F.xxhash64("text"), "__none": ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
-    chosen = keyed.where("NOT __none").join(best, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")))
-    chosen = chosen.dropDuplicates(["__id", "__th"]).select(*(keyed[c] for c in docs.columns))
-    return chosen.unionByName(keyed.where("__none").select(*docs.columns))
+    keyed = keyed.withColumn("__open", marked(open_, F.xxhash64(F.col("doc_id").cast("long"), "__text")))
+    asked = keyed.where("NOT __none AND __open")
+    chosen = asked.join(best.hint("merge"), asked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")))
+    chosen = chosen.dropDuplicates(["__id", "__th"]).select(*(asked[c] for c in docs.columns))
+    return chosen.unionByName(keyed.where("__none OR NOT __open").select(*docs.columns))
 
 
 def op9_jaccard(spark, sf_dir) -> DataFrame:

@@ -87,3 +87,14 @@ def test_what_a_row_says_is_not_stored(spark, tmp_path):
     slim = store._slim(store.grouped(spark.createDataFrame(rows, cols)))
     assert not {"sentence", "triple_id", "original_subject"} & set(slim.columns)
     assert {r["relation"]: r["sentence"] for r in store._whole(slim).collect()} == {"leads_to": "X leads to Y", "uses": "it does", "has": None}
+
+
+def test_texts_that_stay_are_not_dealt(spark):
+    from quillgraph.llm import jaccard
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, words), (3, words + " more"), (4, "quite another text that stands alone here"), (4, "quite another text that stands alone here"), (4, "and a different one under the same id"), (None, "one without any id at all there"), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard.one_of_each(docs, n=5, percent=80)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted((str(a), str(b)) for a, b in [rows[0], rows[3], *rows[5:]])
+    assert "getbit" in _plan(kept).lower()
